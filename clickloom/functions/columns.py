@@ -58,12 +58,12 @@ def clamp(value: Column | str, low: float, high: float) -> Column:
 def name_uuid(name: Column) -> Column:
     """A version-3 UUID from the MD5 of a name."""
     h = F.md5(name.cast("binary"))
-    variant = F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
     return F.concat_ws(
         "-",
         F.substring(h, 1, 8),
         F.substring(h, 9, 4),
         F.concat(F.lit("3"), F.substring(h, 14, 3)),
-        F.concat(F.lower(F.hex(variant)), F.substring(h, 18, 3)),
+        F.concat(variant, F.substring(h, 18, 3)),
         F.substring(h, 21, 12),
     )

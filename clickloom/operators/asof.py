@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.columns import epoch_micros
-from clickloom.operators.skew import skew_join
 
 
 def asof_join(
@@ -60,7 +59,7 @@ def asof_join(
     answered = inside.join(slots, [*keys, "_slot"], "left").select(
         *keys, F.col("_t").alias(left_ts), F.greatest("_rec", "_carry").alias("_rec")
     )
-    joined = skew_join(left, answered, [*keys, left_ts], "left")
+    joined = left.join(answered, [*keys, left_ts], "left")
     return joined.select(
         *[F.col(c) for c in left.columns], *[F.col(f"_rec._v_{c}").alias(c) for c in values]
     )

@@ -12,9 +12,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.columns import between, epoch_micros, hours, instant, matured, ratio, visible
+from clickloom.functions.columns import between, epoch_micros, hours, matured, ratio, visible
 from clickloom.operators.quality import check_report_range
-from clickloom.operators.skew import skew_join
 from clickloom.schemas import ATTRIBUTION_HOURS, MATURITY_HOURS
 
 
@@ -35,8 +34,10 @@ def occurs_within(
     events of slot b (then the last one there is at or after the start) or of slot b + 1 (then
     the first one there is before the end). So two extremes per key and slot decide exactly:
     events are reduced on the map side, no pair of a start and an event is ever formed, and the
-    output has the rows of ``starts``. ``unique`` says that ``starts`` has one row per key, which
-    makes the protection against hot keys unnecessary.
+    output has the rows of ``starts``. Extremes are grouped by the slot before and joined by that
+    plus one, so that both sides of the join are shuffled for it and adaptive execution can split
+    the hot keys of ``starts``. ``unique`` says that ``starts`` has one row per key; then the
+    grouping is the partitioning of the join and the extremes move only once.
     """
     width = window_hours * 3_600_000_000
     keys = list(on)
@@ -44,24 +45,22 @@ def occurs_within(
     def slot(ts: str):
         return F.floor(epoch_micros(ts) / F.lit(width)).cast("long")
 
+    shift = 0 if unique else 1
+    own = F.col("_own") - shift
     moments = events.select(*keys, F.col(event_ts).alias("_ts"), slot(event_ts).alias("_own")).select(
         *keys,
         F.inline(
             F.array(
-                F.struct(F.col("_own").alias("_slot"), F.col("_ts").alias("_same"), F.lit(None).alias("_next")),
-                F.struct((F.col("_own") - 1).alias("_slot"), F.lit(None).alias("_same"), F.col("_ts").alias("_next")),
+                F.struct(own.alias("_group"), F.col("_ts").alias("_same"), F.lit(None).alias("_next")),
+                F.struct((own - 1).alias("_group"), F.lit(None).alias("_same"), F.col("_ts").alias("_next")),
             )
         ),
     )
-    extremes = moments.groupBy(*keys, "_slot").agg(
+    reduced = moments.groupBy(*keys, "_group").agg(
         F.max("_same").alias("_last_same"), F.min("_next").alias("_first_next")
     )
-    left = starts.withColumn("_slot", slot(start_ts))
-    joined = (
-        left.join(extremes, [*keys, "_slot"], "left")
-        if unique
-        else skew_join(left, extremes, [*keys, "_slot"], "left")
-    )
+    extremes = reduced.withColumn("_slot", F.col("_group") + shift if shift else F.col("_group")).drop("_group")
+    joined = starts.withColumn("_slot", slot(start_ts)).join(extremes, [*keys, "_slot"], "left")
     hit = F.coalesce(F.col("_last_same") >= F.col(start_ts), F.lit(False)) | F.coalesce(
         F.col("_first_next") < F.col(start_ts) + hours(window_hours), F.lit(False)
     )
@@ -102,11 +101,12 @@ def clicked_impression_ctr(
 CTR_SQL = """
 WITH cohort AS (
   SELECT * FROM {impressions}
-  WHERE CAST(impression_ts AS DATE) BETWEEN :day AND :last_day AND received_ts < :cutoff
+  WHERE CAST(impression_ts AS DATE) BETWEEN CAST(:day AS DATE) AND CAST(:last_day AS DATE)
+    AND received_ts < CAST(:cutoff AS TIMESTAMP_NTZ)
 ), flagged AS (
   SELECT ad_id, EXISTS (
       SELECT 1 FROM {clicks} c
-      WHERE c.{on} = i.{on} AND c.received_ts < :cutoff
+      WHERE c.{on} = i.{on} AND c.received_ts < CAST(:cutoff AS TIMESTAMP_NTZ)
         AND c.click_ts >= i.impression_ts
         AND c.click_ts < i.impression_ts + INTERVAL 24 HOURS) AS hit
   FROM cohort i
@@ -132,11 +132,7 @@ def clicked_impression_ctr_sql(
     """
     return impressions.sparkSession.sql(
         CTR_SQL.replace("{on}", on),
-        args={
-            "day": F.lit(day).cast("date"),
-            "last_day": F.lit(last_day or day).cast("date"),
-            "cutoff": instant(cutoff),
-        },
+        args={"day": day, "last_day": last_day or day, "cutoff": cutoff},
         impressions=impressions,
         clicks=clicks,
     )

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.columns import hours
-from clickloom.operators.skew import skew_join
 from clickloom.schemas import ATTRIBUTION_HOURS, EXPOSURE_HOURS, LATENESS_HOURS
 from clickloom.session import cut_lineage
 
@@ -36,7 +35,7 @@ def _order() -> Column:
 def _outcomes(deliveries: DataFrame, stored: DataFrame, payload: list[str], otherwise: Column) -> DataFrame:
     """``stored``: id, _at (order of the accepted delivery), _payload. A known id decides before
     the rules do, so a late identical retry is still a replay."""
-    joined = skew_join(deliveries, stored, ["id"], "left")
+    joined = deliveries.join(stored, "id", "left")
     same = F.col("_payload") == F.struct(*payload)
     known = F.coalesce(F.col("_at") < _order(), F.lit(False))
     first = F.coalesce(F.col("_at") == _order(), F.lit(False))
@@ -81,9 +80,10 @@ def accept_impressions(edges: DataFrame) -> DataFrame:
     while True:
         won = _claims(rest)
         accepted = won if accepted is None else accepted.unionByName(won)
-        rest = skew_join(rest, won.select("id"), ["id"], "left_anti")
         rest = cut_lineage(
-            skew_join(rest, won.select("request_id", "ad_id"), ["request_id", "ad_id"], "left_anti")
+            rest.join(won.select("id"), "id", "left_anti").join(
+                won.select("request_id", "ad_id"), ["request_id", "ad_id"], "left_anti"
+            )
         )
         if rest.isEmpty():
             return accepted
@@ -94,7 +94,7 @@ def classify_impressions(deliveries: DataFrame, requests: DataFrame, results: Da
     returned = results.select("request_id", "ad_id").join(
         requests.select(F.col("id").alias("request_id"), F.col("created_at").alias("_returned")), "request_id"
     )
-    joined = skew_join(deliveries, returned, ["request_id", "ad_id"], "left")
+    joined = deliveries.join(returned, ["request_id", "ad_id"], "left")
     outside = (F.col("occurred_at") < F.col("_returned")) | (
         F.col("occurred_at") >= F.col("_returned") + hours(EXPOSURE_HOURS)
     )
@@ -123,7 +123,7 @@ def classify_clicks(deliveries: DataFrame, impressions: DataFrame) -> DataFrame:
     known = impressions.select(
         F.col("id").alias("impression_id"), F.col("occurred_at").alias("_shown"), F.col("received_at").alias("_arrived")
     )
-    joined = skew_join(deliveries, known, ["impression_id"], "left")
+    joined = deliveries.join(known, "impression_id", "left")
     outside = (F.col("occurred_at") < F.col("_shown")) | (
         F.col("occurred_at") >= F.col("_shown") + hours(ATTRIBUTION_HOURS)
     )
@@ -138,8 +138,9 @@ def classify_clicks(deliveries: DataFrame, impressions: DataFrame) -> DataFrame:
     stored = (
         checked.where("problem IS NULL")
         .groupBy("id")
-        .agg(F.min(F.struct(_order().alias("_at"), F.struct(*payload).alias("_payload"))).alias("_first"))
-        .select("id", "_first._at", "_first._payload")
+        .agg(F.min(F.struct(_order().alias("_at"), F.struct(*payload).alias("_payload"), "id")).alias("_first"))
+        # The id out of the reduced struct: both sides of the next join are shuffled for it.
+        .select("_first.id", "_first._at", "_first._payload")
     )
     return _outcomes(checked, stored, payload, F.lit("event_id"))
 

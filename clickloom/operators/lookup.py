@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.quality import require_unique, unique_row_count
-from clickloom.operators.skew import HOT_MIN_ROWS, HOT_SHARE, skew_join
+from clickloom.operators.skew import HOT_MIN_ROWS, HOT_SHARE, salted_join
 
 BROADCAST_ROWS = 200_000
 
@@ -24,15 +24,12 @@ def lookup_join(
     """Left join that keeps every fact. The lookup must have unique, non-null keys.
 
     The check of the keys also counts the rows: up to ``broadcast_rows`` they are sent to all
-    executors and the facts do not move; a larger table is joined by a salted shuffle.
+    executors and the facts do not move; a larger table is joined by a shuffle, whose hot
+    partitions adaptive execution splits.
     """
     keys = [on] if isinstance(on, str) else list(on)
     rows = unique_row_count(lookup, keys)
-    joined = (
-        facts.join(F.broadcast(lookup), keys, "left")
-        if rows <= broadcast_rows
-        else skew_join(facts, lookup, keys, "left")
-    )
+    joined = facts.join(F.broadcast(lookup) if rows <= broadcast_rows else lookup.hint("merge"), keys, "left")
     return joined.withColumns(
         {name: F.coalesce(F.col(name), F.lit(text)) for name, text in (unknown or {}).items()}
     )
@@ -50,7 +47,7 @@ def salted_lookup_join(
     """The shuffled form: hot keys are found by a sketch and salted, sort-merge joined."""
     keys = [on] if isinstance(on, str) else list(on)
     require_unique(lookup, keys)
-    joined = skew_join(facts, lookup, keys, "left", share=share, min_rows=min_rows, hint="merge")
+    joined = salted_join(facts, lookup, keys, "left", share=share, min_rows=min_rows, hint="merge")
     return joined.withColumns(
         {name: F.coalesce(F.col(name), F.lit(text)) for name, text in (unknown or {}).items()}
     )

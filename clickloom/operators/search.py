@@ -16,7 +16,6 @@ from clickloom.operators.evaluation import model_rules
 from clickloom.operators.experiments import assign
 from clickloom.operators.lookup import BROADCAST_ROWS, lookup_join
 from clickloom.operators.quality import with_violations
-from clickloom.operators.skew import skew_join
 from clickloom.operators.windows import top_per_group
 from clickloom.schemas import MAX_RESULTS, RETRIEVAL_DEPTH, SCHEMA_VERSION, SNAPSHOT_MAX_AGE_SECONDS
 
@@ -54,7 +53,7 @@ def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVA
         .where(F.col("_found") == F.size("_terms"))
         .select("_terms", F.col("_rarest.token").alias("token"))
     )
-    met = skew_join(needed, rarest, ["token"], "inner")
+    met = needed.join(rarest, "token")
     single = met.where(F.size("_terms") == 1).select("_terms", "ad_id", "tf")
     rest = met.where(F.size("_terms") > 1).select(
         "_terms", "ad_id", F.col("tf").alias("_tf"),
@@ -187,7 +186,7 @@ def resolve_policy(
     if assignments is not None:
         stored = assignments.select("experiment_id", "user_id", F.col("arm").alias("_stored"))
         known = (
-            skew_join(known, stored, ["experiment_id", "user_id"], "left")
+            known.join(stored, ["experiment_id", "user_id"], "left")
             .withColumn("arm", F.when(F.col("active"), F.coalesce("_stored", "arm")))
             .drop("_stored")
         )
@@ -246,11 +245,10 @@ def rank_contexts(
     """
     keys = ["query", "snapshot_id", "model_version"]
     pairs = contexts.select(*keys).distinct().join(candidates.select("query", "ad_id", "relevance"), "query")
-    counted = skew_join(
-        pairs,
-        ad_features.select("snapshot_id", "ad_id", F.col("impressions").alias("_i"), F.col("clicked_impressions").alias("_c")),
-        ["snapshot_id", "ad_id"], "left",
+    history = ad_features.select(
+        "snapshot_id", "ad_id", F.col("impressions").alias("_i"), F.col("clicked_impressions").alias("_c")
     )
+    counted = pairs.join(history, ["snapshot_id", "ad_id"], "left")
     impressions, clicked = F.coalesce("_i", F.lit(0)), F.coalesce("_c", F.lit(0))
     featured = counted.select(
         *keys, "ad_id",
@@ -300,10 +298,10 @@ def serve(
         "query", F.coalesce("snapshot_id", F.lit("")).alias("_snapshot"),
         F.coalesce("model_version", F.lit("")).alias("_model"), "_items", "_invalid",
     )
-    joined = skew_join(
+    joined = (
         accepted.withColumn("_snapshot", F.coalesce("snapshot_id", F.lit("")))
-        .withColumn("_model", F.coalesce("model_version", F.lit(""))),
-        keyed, ["query", "_snapshot", "_model"], "left",
+        .withColumn("_model", F.coalesce("model_version", F.lit("")))
+        .join(keyed, ["query", "_snapshot", "_model"], "left")
     )
     failed = F.coalesce(F.col("_invalid"), F.lit(False))
     served = (

@@ -1,4 +1,11 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+Most operators rely on the skew handling of adaptive execution: it splits an oversized shuffle
+partition of a sort-merge join by map output and costs no extra pass. It needs a fresh shuffle on
+both sides, so a side that was just grouped by the join keys is keyed by an expression there, which
+makes Spark shuffle the (reduced) groups once more. The join below is for facts read from a table:
+it finds hot keys beforehand and salts them, whatever the settings of the session are.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +51,7 @@ def row_salt(columns: Sequence[str | Column], salts: Column) -> Column:
     return F.pmod(F.pmod(F.xxhash64(*columns), salts) + F.spark_partition_id(), salts).cast("int")
 
 
-def skew_join(
+def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],

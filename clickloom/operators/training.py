@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.columns import hours, instant
 from clickloom.operators.attribution import mature_impressions
-from clickloom.schemas import FEATURES, MATURITY_HOURS, SCHEMA_VERSION, TRAINING_EXAMPLE
+from clickloom.schemas import FEATURES, MATURITY_HOURS, SCHEMA_VERSION, TRAINING_EXAMPLE, TRAINING_FIELDS
 
 
 def training_examples(
@@ -54,7 +54,7 @@ def frozen_payloads(examples: DataFrame, export_id: str) -> DataFrame:
     return examples.select(
         F.lit(export_id).alias("export_id"),
         F.col("impressionId").alias("impression_id"),
-        F.to_json(F.struct(*TRAINING_EXAMPLE.names)).alias("payload"),
+        F.to_json(F.struct(*TRAINING_FIELDS)).alias("payload"),
     )
 
 

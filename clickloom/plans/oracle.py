@@ -192,24 +192,24 @@ CTES["ichecked"] = """SELECT d.*, CASE
     WHEN d.occurred_at<r.created_at OR d.occurred_at>=r.created_at+INTERVAL 1 HOUR THEN 'exposure_window' END AS problem
     FROM ideliv d LEFT JOIN (SELECT s.request_id, s.ad_id, q.created_at FROM sres0 s JOIN sreq q ON q.id=s.request_id) r
     ON r.request_id=d.request_id AND r.ad_id=d.ad_id"""
-CTES["e0"] = """SELECT id, request_id, ad_id, occurred_at, min((received_at, delivery_id)) AS at FROM ichecked
+CTES["e0"] = """SELECT id, request_id, ad_id, occurred_at, min((received_at, delivery_id)) AS seen_at FROM ichecked
     WHERE problem IS NULL GROUP BY 1,2,3,4"""
 _ROUNDS = 4
 for _r in range(_ROUNDS):
     CTES[f"w{_r}"] = f"""SELECT e.* FROM e{_r} e
-        JOIN (SELECT id, min(at) AS at FROM e{_r} GROUP BY 1) a ON a.id=e.id AND a.at=e.at
-        JOIN (SELECT request_id, ad_id, min(at) AS at FROM e{_r} GROUP BY 1,2) b
-          ON b.request_id=e.request_id AND b.ad_id=e.ad_id AND b.at=e.at"""
+        JOIN (SELECT id, min(seen_at) AS seen_at FROM e{_r} GROUP BY 1) a ON a.id=e.id AND a.seen_at=e.seen_at
+        JOIN (SELECT request_id, ad_id, min(seen_at) AS seen_at FROM e{_r} GROUP BY 1,2) b
+          ON b.request_id=e.request_id AND b.ad_id=e.ad_id AND b.seen_at=e.seen_at"""
     CTES[f"e{_r + 1}"] = f"""SELECT * FROM e{_r} e WHERE NOT EXISTS (SELECT 1 FROM w{_r} w WHERE w.id=e.id)
         AND NOT EXISTS (SELECT 1 FROM w{_r} w WHERE w.request_id=e.request_id AND w.ad_id=e.ad_id)"""
 CTES["istored"] = " UNION ALL ".join(f"SELECT * FROM w{r}" for r in range(_ROUNDS))
 CTES["iout"] = """SELECT d.* EXCLUDE (problem),
-    CASE WHEN s.at=(d.received_at,d.delivery_id) THEN 'accepted'
-         WHEN s.at<(d.received_at,d.delivery_id) THEN
+    CASE WHEN s.seen_at=(d.received_at,d.delivery_id) THEN 'accepted'
+         WHEN s.seen_at<(d.received_at,d.delivery_id) THEN
               CASE WHEN s.request_id=d.request_id AND s.ad_id=d.ad_id AND s.occurred_at=d.occurred_at THEN 'replay' ELSE 'conflict' END
          WHEN d.problem IS NOT NULL THEN 'rejected' ELSE 'conflict' END AS outcome,
-    CASE WHEN s.at=(d.received_at,d.delivery_id) THEN NULL
-         WHEN s.at<(d.received_at,d.delivery_id) THEN
+    CASE WHEN s.seen_at=(d.received_at,d.delivery_id) THEN NULL
+         WHEN s.seen_at<(d.received_at,d.delivery_id) THEN
               CASE WHEN s.request_id=d.request_id AND s.ad_id=d.ad_id AND s.occurred_at=d.occurred_at THEN NULL ELSE 'event_id' END
          ELSE coalesce(d.problem,'exposure') END AS reason
     FROM ichecked d LEFT JOIN istored s ON s.id=d.id"""
@@ -230,15 +230,15 @@ CTES["cchecked"] = """SELECT d.*, CASE
     WHEN d.occurred_at<i.occurred_at OR d.occurred_at>=i.occurred_at+INTERVAL 24 HOURS THEN 'attribution_window' END AS problem
     FROM cdeliv d LEFT JOIN (SELECT id, occurred_at, received_at FROM iout WHERE outcome='accepted') i ON i.id=d.impression_id"""
 CTES["cout"] = """SELECT d.* EXCLUDE (problem),
-    CASE WHEN s.at=(d.received_at,d.delivery_id) THEN 'accepted'
-         WHEN s.at<(d.received_at,d.delivery_id) THEN
+    CASE WHEN s.seen_at=(d.received_at,d.delivery_id) THEN 'accepted'
+         WHEN s.seen_at<(d.received_at,d.delivery_id) THEN
               CASE WHEN s.impression_id=d.impression_id AND s.occurred_at=d.occurred_at THEN 'replay' ELSE 'conflict' END
          WHEN d.problem='impression_not_arrived' THEN 'conflict' ELSE 'rejected' END AS outcome,
-    CASE WHEN s.at=(d.received_at,d.delivery_id) THEN NULL
-         WHEN s.at<(d.received_at,d.delivery_id) THEN
+    CASE WHEN s.seen_at=(d.received_at,d.delivery_id) THEN NULL
+         WHEN s.seen_at<(d.received_at,d.delivery_id) THEN
               CASE WHEN s.impression_id=d.impression_id AND s.occurred_at=d.occurred_at THEN NULL ELSE 'event_id' END
          ELSE d.problem END AS reason
-    FROM cchecked d LEFT JOIN (SELECT id, min((received_at,delivery_id)) AS at,
+    FROM cchecked d LEFT JOIN (SELECT id, min((received_at,delivery_id)) AS seen_at,
         arg_min(impression_id,(received_at,delivery_id)) AS impression_id, arg_min(occurred_at,(received_at,delivery_id)) AS occurred_at
         FROM cchecked WHERE problem IS NULL GROUP BY 1) s ON s.id=d.id"""
 
