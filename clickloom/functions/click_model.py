@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.schemas import MAX_COUNT
@@ -26,8 +26,9 @@ def valid_inputs(relevance: Column, impressions: Column, clicked: Column) -> Col
 
 
 def sigmoid(z: Column) -> Column:
-    """Split by sign so that exp never overflows."""
-    return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
+    """exp of a negative number only, so it never overflows."""
+    e = F.exp(-F.abs(z))
+    return F.when(z >= 0, F.lit(1.0)).otherwise(e) / (1 + e)
 
 
 def is_finite(value: Column) -> Column:
@@ -41,13 +42,18 @@ def linear_score(features: list[Column], means: Column, scales: Column, coeffici
     return z
 
 
-def predict(features: list[Column], means: Column, scales: Column, coefficients: Column, intercept: Column) -> Column:
-    """The click probability, or NULL where a feature or the score is not finite."""
-    z = linear_score(features, means, scales, coefficients, intercept)
-    ok = is_finite(z)
-    for x in features:
-        ok = ok & is_finite(x)
-    return F.when(ok, sigmoid(z))
+def with_probability(
+    df: DataFrame, name: str, features: list[str], means: Column, scales: Column, coefficients: Column, intercept: Column
+) -> DataFrame:
+    """Adds the click probability, or NULL where the score is not finite (one feature that is not
+    finite is enough). The score is a column of its own, or its expression would be repeated
+    wherever it is used."""
+    z = F.col("_score")
+    return (
+        df.withColumn("_score", linear_score([F.col(f) for f in features], means, scales, coefficients, intercept))
+        .withColumn(name, F.when(is_finite(z), sigmoid(z)))
+        .drop("_score")
+    )
 
 
 def baseline_score(relevance: Column, smoothed: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import text
-from clickloom.functions.click_model import is_finite, predict
+from clickloom.functions.click_model import is_finite, with_probability
 from clickloom.functions.columns import between, clamp
 from clickloom.operators.attribution import mature_impressions
 from clickloom.operators.quality import check_report_range, source_id_invalid
@@ -116,9 +116,7 @@ def with_model_score(rows: DataFrame, parameters: dict[str, object], name: str =
     arrays = [
         F.array(*[F.lit(float(v)) for v in parameters[key]]) for key in ("means", "scales", "coefficients")
     ]
-    return rows.withColumn(
-        name, predict([F.col(f) for f in FEATURES], *arrays, F.lit(float(parameters["intercept"])))
-    )
+    return with_probability(rows, name, list(FEATURES), *arrays, F.lit(float(parameters["intercept"])))
 
 
 def max_parity_error(scored: DataFrame, parameters: dict[str, object]) -> float:

@@ -21,55 +21,57 @@ from clickloom.schemas import MAX_RESULTS, RETRIEVAL_DEPTH, SCHEMA_VERSION, SNAP
 
 
 def token_postings(ads: DataFrame) -> DataFrame:
-    """token, ad_id and how often the token occurs in title and category."""
-    words = F.explode(text.tokens(F.concat_ws(" ", "title", "category"))).alias("token")
-    return ads.select(F.col("id").alias("ad_id"), words).groupBy("token", "ad_id").agg(
-        F.count(F.lit(1)).alias("tf")
+    """token, ad_id and ``_tf``, the count of every token of that ad.
+
+    Title and category have at most 264 characters by the catalog contract, so the counts are small
+    enough to travel with each posting, and postings are made without a shuffle.
+    """
+    words = text.tokens(F.concat_ws(" ", "title", "category"))
+    counted = ads.select(F.col("id").alias("ad_id"), words.alias("_words")).select(
+        "ad_id",
+        F.map_from_arrays(
+            F.array_distinct("_words"),
+            F.transform(
+                F.array_distinct("_words"),
+                lambda t: F.size(F.filter("_words", lambda w: w == t)),
+            ),
+        ).alias("_tf"),
     )
+    return counted.select(F.explode(F.map_keys("_tf")).alias("token"), "ad_id", "_tf")
 
 
 def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVAL_DEPTH) -> DataFrame:
     """query, ad_id, relevance, rank: the best ``depth`` ads holding all tokens of the query.
 
     relevance = raw / (1 + raw) with raw = 0.1 * the smallest term frequency over the query tokens;
-    ties go to the lower id. Ads are met on the rarest token of a query only, and the other tokens
-    are then checked by (token, ad). Queries with the same tokens are looked up once.
+    ties go to the lower id. Each distinct query meets the ads on its rarest token only; the other
+    tokens are checked in place, and the ranking limit is applied before anything is shuffled.
     """
     asked = (
         queries.select("query").distinct()
-        .withColumn("_terms", F.array_sort(F.array_distinct(text.tokens(F.col("query")))))
+        .withColumn("_terms", F.array_distinct(text.tokens(F.col("query"))))
         .where(F.size("_terms") > 0)
     )
     postings = token_postings(ads)
-    terms = asked.select("_terms").distinct()
-    wanted = terms.select("_terms", F.explode("_terms").alias("token"))
-    needed = postings.join(wanted.select("token").distinct(), "token", "left_semi")
-    frequency = needed.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (
-        wanted.join(frequency, "token")
-        .groupBy("_terms")
+        asked.select("query", "_terms", F.explode("_terms").alias("token"))
+        .join(frequency, "token")
+        .groupBy("query", "_terms")
         .agg(F.min(F.struct("_df", "token")).alias("_rarest"), F.count(F.lit(1)).alias("_found"))
         # A token that no ad holds leaves the query without candidates.
         .where(F.col("_found") == F.size("_terms"))
-        .select("_terms", F.col("_rarest.token").alias("token"))
+        .select("query", "_terms", F.col("_rarest.token").alias("token"))
     )
-    met = needed.join(rarest, "token")
-    single = met.where(F.size("_terms") == 1).select("_terms", "ad_id", "tf")
-    rest = met.where(F.size("_terms") > 1).select(
-        "_terms", "ad_id", F.col("tf").alias("_tf"),
-        F.explode(F.array_remove("_terms", F.col("token"))).alias("token"),
+    lowest = F.array_min(F.transform("_terms", lambda t: F.coalesce(F.element_at("_tf", t), F.lit(0))))
+    raw = F.lit(0.1) * F.col("_least")
+    scored = (
+        postings.join(rarest, "token")
+        .select("query", "ad_id", lowest.alias("_least"))
+        .where("_least > 0")
+        .select("query", "ad_id", (raw / (1 + raw)).alias("relevance"))
     )
-    several = (
-        rest.join(needed, ["token", "ad_id"])
-        .groupBy("_terms", "ad_id")
-        .agg(F.count(F.lit(1)).alias("_hits"), F.least(F.min("_tf"), F.min("tf")).alias("tf"))
-        .where(F.col("_hits") == F.size("_terms") - 1)
-        .select("_terms", "ad_id", "tf")
-    )
-    raw = F.lit(0.1) * F.col("tf")
-    scored = single.unionByName(several).select("_terms", "ad_id", (raw / (1 + raw)).alias("relevance"))
-    best = top_per_group(scored, ["_terms"], [F.desc("relevance"), F.asc("ad_id")], depth)
-    return asked.join(best, "_terms").select("query", "ad_id", "relevance", "rank")
+    return top_per_group(scored, ["query"], [F.desc("relevance"), F.asc("ad_id")], depth)
 
 
 # ---- snapshots and deployments as of a request ----------------------------------------------
@@ -261,11 +263,11 @@ def rank_contexts(
     parameters = models.select(
         F.col("version").alias("model_version"), "means", "scales", "coefficients", "intercept"
     )
-    features = [F.col(c) for c in ("text_relevance", "smoothed_ctr", "log_impressions")]
-    by_model = lookup_join(featured, parameters, "model_version").withColumn(
-        "_p",
-        F.when(F.col("_valid"), click_model.predict(features, *[F.col(c) for c in ("means", "scales", "coefficients", "intercept")])),
-    )
+    by_model = click_model.with_probability(
+        lookup_join(featured, parameters, "model_version"), "_p",
+        ["text_relevance", "smoothed_ctr", "log_impressions"],
+        *[F.col(c) for c in ("means", "scales", "coefficients", "intercept")],
+    ).withColumn("_p", F.when(F.col("_valid"), F.col("_p")))
     # Retrieval depth bounds a context at 200 rows.
     context = Window.partitionBy(*keys)
     invalid = F.col("model_version").isNotNull() & (F.max(F.col("_p").isNull().cast("int")).over(context) == 1)

@@ -677,7 +677,7 @@ def _(spark, sf):
 
 
 def _scored(spark, sf):
-    return _examples(spark, sf).withColumn("p", views.fixed_probability(["textRelevance", "smoothedCtr", "logImpressions"]))
+    return views.with_fixed_score(_examples(spark, sf), "p", ["textRelevance", "smoothedCtr", "logImpressions"])
 
 
 @query(

@@ -95,15 +95,16 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         click_model.smoothed_ctr(history, clicked).alias("smoothed_ctr"),
         click_model.log_impressions(history).alias("log_impressions"),
     )
-    score = fixed_probability(["text_relevance", "smoothed_ctr", "log_impressions"])
-    return features.withColumn("score", score)
+    return with_fixed_score(features, "score", ["text_relevance", "smoothed_ctr", "log_impressions"])
 
 
-def fixed_probability(features: list[str]) -> Column:
+def with_fixed_score(df: DataFrame, name: str, features: list[str]) -> DataFrame:
     means, scales, coefficients = (
         F.array(*[F.lit(v) for v in FIXED_MODEL[k]]) for k in ("means", "scales", "coefficients")
     )
-    return click_model.predict([F.col(c) for c in features], means, scales, coefficients, F.lit(FIXED_MODEL["intercept"]))
+    return click_model.with_probability(
+        df, name, features, means, scales, coefficients, F.lit(FIXED_MODEL["intercept"])
+    )
 
 
 def served_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
