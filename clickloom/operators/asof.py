@@ -19,16 +19,17 @@ def asof_join(
     clocks: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    slot_minutes: int = 60,
+    slot_minutes: int = 1,
 ) -> DataFrame:
     """Adds to each row of ``left`` the values of its latest history record.
 
     A record counts once all of its ``clocks`` are at or before ``left_ts``; the latest is the
     greatest by ``order``. Rows without history keep NULL. No pair of a row and a record is
     formed: a record becomes known at the greatest of its clocks, and the answer is a running
-    maximum over time. A key with very many rows is cut into time slots: the maximum runs inside
-    a slot, and the maxima of the earlier slots (a few numbers per key and slot) are carried in.
-    Instants are made distinct first, so repeated instants of one key cost nothing.
+    maximum over time. Every key is cut into time slots: the maximum runs inside a slot, and the
+    maxima of the earlier slots, one row each, are carried in. Instants are made distinct first.
+    So however hot a key is, with slots of one minute a task sees at most 60 million distinct
+    microseconds of it, and half a million carried rows per year.
     """
     keys = list(on)
     width = slot_minutes * 60_000_000
