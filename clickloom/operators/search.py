@@ -13,7 +13,6 @@ from clickloom.functions import click_model, hashing, text
 from clickloom.functions.columns import epoch_micros
 from clickloom.operators.asof import asof_join
 from clickloom.operators.evaluation import model_rules
-from clickloom.operators.experiments import assign
 from clickloom.operators.lookup import BROADCAST_ROWS, lookup_join
 from clickloom.operators.quality import with_violations
 from clickloom.operators.windows import top_per_group
@@ -78,16 +77,15 @@ def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVA
 
 
 def _step_function(history: DataFrame, known: Column, best: Column) -> DataFrame:
-    """Intervals ``[_from, _until)`` with the greatest record known in them. One row per record of
-    a publication history; ``_slot`` repeats an interval once per day it touches."""
+    """Intervals ``[_t, _until)`` with the greatest record known in them."""
     w = Window.orderBy("_t")
-    steps = (
+    # Only called for histories small enough to broadcast.
+    return (
         history.select(known.alias("_t"), best.alias("_rec"))
         .groupBy("_t").agg(F.max("_rec").alias("_rec"))
         .withColumn("_rec", F.max("_rec").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_until", F.lead("_t").over(w))
     )
-    return steps
 
 
 def _day(ts: str | Column) -> Column:
@@ -99,32 +97,32 @@ def latest_as_of(
 ) -> DataFrame:
     """The one latest record of a keyless history at each request's time; NULL if there is none.
 
-    A history of at most ``BROADCAST_ROWS`` publications becomes a step function, cut at the days
-    of the requests and broadcast, so requests do not move. A longer one takes the general
-    point-in-time join.
+    A history of at most ``BROADCAST_ROWS`` publications, and days between them, becomes a step
+    function by day and is broadcast, so requests neither move nor get scanned twice. A longer one
+    takes the general point-in-time join.
     """
-    if history.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return asof_join(requests, history, [], left_ts=at, clocks=clocks, order=order, values=values)
     complete = F.lit(True)
     for clock in clocks:
         complete = complete & F.col(clock).isNotNull()
-    record = F.struct(*order, *[F.col(v).alias(f"_v_{v}") for v in values])
     known = F.greatest(*[F.col(c) for c in clocks]) if len(clocks) > 1 else F.col(clocks[0])
-    steps = _step_function(history.where(complete), known, record)
-    span = requests.agg(F.min(_day(at)).alias("_lo"), F.max(_day(at)).alias("_hi")).first()
-    if span["_lo"] is None:
-        none = F.lit(None)
-        types = {v: history.schema[v].dataType for v in values}
-        return requests.select("*", *[none.cast(t).alias(v) for v, t in types.items()])
-    first = F.greatest(_day("_t"), F.lit(span["_lo"]))
-    last = F.least(F.coalesce(_day("_until"), F.lit(span["_hi"])), F.lit(span["_hi"]))
-    by_day = steps.where(last >= first).withColumn("_slot", F.explode(F.sequence(first, last)))
+    usable = history.where(complete)
+    size = usable.agg(
+        F.count(F.lit(1)).alias("n"), F.min(_day(known)).alias("first"), F.max(_day(known)).alias("last")
+    ).first()
+    if size["n"] == 0:
+        return requests.select("*", *[F.lit(None).cast(history.schema[v].dataType).alias(v) for v in values])
+    if size["n"] + size["last"] - size["first"] > BROADCAST_ROWS:
+        return asof_join(requests, history, [], left_ts=at, clocks=clocks, order=order, values=values)
+    record = F.struct(*order, *[F.col(v).alias(f"_v_{v}") for v in values])
+    # An interval counts on each day it touches; the last one is open and stands for all later days.
+    by_day = _step_function(usable, known, record).withColumn(
+        "_slot", F.explode(F.sequence(_day("_t"), F.coalesce(_day("_until"), _day("_t"))))
+    )
     hit = (
-        (F.col("_slot") == _day(at))
+        (F.col("_slot") == F.least(_day(at), F.lit(size["last"])))
         & (F.col(at) >= F.col("_t"))
         & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
     )
-    # Rows: one per publication and per day of the requests' span.
     return requests.join(F.broadcast(by_day), hit, "left").select(
         *[requests[c] for c in requests.columns], *[F.col(f"_rec._v_{v}").alias(v) for v in values]
     )
@@ -285,41 +283,35 @@ def rank_contexts(
     )
 
 
-def serve(
-    resolved: DataFrame, candidates: DataFrame, ad_features: DataFrame, models: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """(search_requests, search_results) for resolved requests: the log of what was shown and why."""
+def serve(resolved: DataFrame, candidates: DataFrame, ad_features: DataFrame, models: DataFrame) -> DataFrame:
+    """One row per answered request: policy, reason and the ``items`` shown, at most 50 by contract."""
     accepted = resolved.where(F.col("policy").isNotNull())
     ranked = rank_contexts(accepted, candidates, ad_features, models)
     item = F.struct("position", "ad_id", "score", "text_relevance", "smoothed_ctr", "log_impressions", "cold")
-    # At most 50 items per context, so the list has a fixed bound.
-    lists = ranked.groupBy("query", "snapshot_id", "model_version").agg(
-        F.sort_array(F.collect_list(item)).alias("_items"), F.max("invalid_score").alias("_invalid")
-    )
-    keyed = lists.select(
-        "query", F.coalesce("snapshot_id", F.lit("")).alias("_snapshot"),
-        F.coalesce("model_version", F.lit("")).alias("_model"), "_items", "_invalid",
-    )
-    joined = (
-        accepted.withColumn("_snapshot", F.coalesce("snapshot_id", F.lit("")))
-        .withColumn("_model", F.coalesce("model_version", F.lit("")))
-        .join(keyed, ["query", "_snapshot", "_model"], "left")
+    keys = {"_snapshot": F.coalesce("snapshot_id", F.lit("")), "_model": F.coalesce("model_version", F.lit(""))}
+    lists = (
+        ranked.groupBy("query", "snapshot_id", "model_version")
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"), F.max("invalid_score").alias("_invalid"))
+        .select("query", *[c.alias(name) for name, c in keys.items()], "_items", "_invalid")
     )
     failed = F.coalesce(F.col("_invalid"), F.lit(False))
-    served = (
-        joined.withColumn("policy", F.when(failed, "baseline").otherwise(F.col("policy")))
-        .withColumn("fallback_reason", F.when(failed, "invalid_score").otherwise(F.col("fallback_reason")))
-        .withColumn("model_version", F.when(~failed, F.col("model_version")))
-        .withColumn("_shown", F.slice("_items", F.lit(1), F.col("limit").cast("int")))
-    )
-    requests = served.select(
-        "id", "user_id", "query", "created_at", "policy", "model_version", "snapshot_id", "experiment_id", "arm",
-        "fallback_reason",
+    return accepted.withColumns(keys).join(lists, ["query", *keys], "left").select(
+        "id", "user_id", "query", "created_at",
+        F.when(failed, "baseline").otherwise(F.col("policy")).alias("policy"),
+        F.when(~failed, F.col("model_version")).alias("model_version"),
+        "snapshot_id", "experiment_id", "arm",
+        F.when(failed, "invalid_score").otherwise(F.col("fallback_reason")).alias("fallback_reason"),
+        F.slice("_items", F.lit(1), F.col("limit").cast("int")).alias("items"),
     )
-    results = served.select(F.col("id").alias("request_id"), F.explode("_shown").alias("_item")).select(
-        "request_id", "_item.*"
-    )
-    return requests, results
+
+
+def request_log(served: DataFrame) -> DataFrame:
+    return served.drop("items")
+
+
+def result_rows(served: DataFrame) -> DataFrame:
+    """request_id, ad_id, position, score and the captured features."""
+    return served.select(F.col("id").alias("request_id"), F.explode("items").alias("_item")).select("request_id", "_item.*")
 
 
 def serving_rollup(requests: DataFrame) -> DataFrame:
@@ -327,17 +319,14 @@ def serving_rollup(requests: DataFrame) -> DataFrame:
     return requests.groupBy("policy", "fallback_reason").agg(F.count(F.lit(1)).alias("requests"))
 
 
-def score_rollup(requests: DataFrame, results: DataFrame) -> DataFrame:
+def score_rollup(served: DataFrame) -> DataFrame:
     """Score distribution and missing histories by policy."""
-    return (
-        results.join(requests.select(F.col("id").alias("request_id"), "policy"), "request_id")
-        .groupBy("policy")
-        .agg(
-            F.count(F.lit(1)).alias("results"),
-            F.sum("score").alias("score_total"),
-            F.max("score").alias("score_max"),
-            F.sum(F.col("cold").cast("long")).alias("missing_features"),
-        )
+    shown = served.select("policy", F.explode("items").alias("_item")).select("policy", "_item.*")
+    return shown.groupBy("policy").agg(
+        F.count(F.lit(1)).alias("results"),
+        F.sum("score").alias("score_total"),
+        F.max("score").alias("score_max"),
+        F.sum(F.col("cold").cast("long")).alias("missing_features"),
     )
 
 
@@ -348,8 +337,3 @@ def feature_age(resolved: DataFrame) -> DataFrame:
         F.avg("snapshot_age_seconds").alias("mean_age"),
         F.max("snapshot_age_seconds").alias("max_age"),
     )
-
-
-def new_assignments(resolved_input: DataFrame, experiments: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Assignments that serving these requests creates."""
-    return assign(resolved_input, experiments, existing)

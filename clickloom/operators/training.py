@@ -89,17 +89,23 @@ class FittedModel:
     trials: list[tuple[float, float]]
 
 
-def click_pipeline(regularization: float) -> Pipeline:
+def fit_scaling(train: DataFrame) -> PipelineModel:
+    """Feature vector, standardised by the means and deviations of ``train``."""
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(FEATURES), outputCol="rawFeatures"),
             StandardScaler(inputCol="rawFeatures", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(
-                featuresCol="features", labelCol="label", standardization=False,
-                regParam=regularization, maxIter=100, tol=1e-8,
-            ),
         ]
-    )
+    ).fit(train)
+
+
+def fit_click_model(train: DataFrame, regularization: float, scaling: PipelineModel | None = None) -> PipelineModel:
+    scaling = scaling or fit_scaling(train)
+    regression = LogisticRegression(
+        featuresCol="features", labelCol="label", standardization=False,
+        regParam=regularization, maxIter=100, tol=1e-8,
+    ).fit(scaling.transform(train))
+    return PipelineModel(stages=[*scaling.stages, regression])
 
 
 def with_probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -112,8 +118,9 @@ def fit_best(train: DataFrame, validation: DataFrame, regularizations: Sequence[
 
     best: FittedModel | None = None
     trials: list[tuple[float, float]] = []
+    scaling = fit_scaling(train)
     for reg in regularizations:
-        fitted = click_pipeline(reg).fit(train)
+        fitted = fit_click_model(train, reg, scaling)
         loss = probability_losses(with_probability(fitted, validation)).first()["log_loss"]
         trials.append((reg, loss))
         if best is None or loss < best.validation_log_loss:

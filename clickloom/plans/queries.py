@@ -863,7 +863,7 @@ def _served(spark, sf):
     round(x2,9) AS log_impressions, cold FROM ranked""",
 )
 def _(spark, sf):
-    results = _served(spark, sf)[1]
+    results = search.result_rows(_served(spark, sf))
     return results.withColumns({c: r9(c) for c in ("score", "text_relevance", "smoothed_ctr", "log_impressions")})
 
 
@@ -872,7 +872,7 @@ def _(spark, sf):
     "SELECT policy, fallback_reason, count(*) AS requests FROM resolved WHERE policy IS NOT NULL GROUP BY 1,2",
 )
 def _(spark, sf):
-    return search.serving_rollup(_served(spark, sf)[0])
+    return search.serving_rollup(_served(spark, sf))
 
 
 @query(
@@ -881,8 +881,7 @@ def _(spark, sf):
     count(*) FILTER (WHERE cold) AS missing_features FROM ranked GROUP BY 1""",
 )
 def _(spark, sf):
-    requests, results = _served(spark, sf)
-    return search.score_rollup(requests, results).withColumn("score_total", F.round("score_total", 6)).withColumn(
+    return search.score_rollup(_served(spark, sf)).withColumn("score_total", F.round("score_total", 6)).withColumn(
         "score_max", r9("score_max")
     )
 

@@ -24,7 +24,7 @@ class SearchTables:
 def run(requests: DataFrame, source: SearchTables, output: str) -> DataFrame:
     """Writes below ``output`` and returns the refused requests with their violations.
 
-    The request log is written first and read back, so results and log describe the same serving.
+    The served requests are written once; log and results are both read off that table.
     """
     checked = quality.with_violations(requests, quality.request_rules())
     valid, refused = quality.split_quarantine(checked)
@@ -34,7 +34,9 @@ def run(requests: DataFrame, source: SearchTables, output: str) -> DataFrame:
         valid, source.experiments, source.deployments, source.snapshots, source.models, source.assignments
     )
     candidates = search.lexical_candidates(valid.select("query"), source.ads)
-    log, results = search.serve(resolved, candidates, source.ad_features, source.models)
-    tables.write_new(log, f"{output}/search_requests")
-    tables.write_new(results.drop("cold"), f"{output}/search_results")
+    served = search.serve(resolved, candidates, source.ad_features, source.models)
+    tables.write_new(served, f"{output}/served")
+    written = requests.sparkSession.read.schema(served.schema).parquet(f"{output}/served")
+    tables.write_new(search.request_log(written), f"{output}/search_requests")
+    tables.write_new(search.result_rows(written).drop("cold"), f"{output}/search_results")
     return refused

@@ -124,9 +124,9 @@ def test_one_invalid_score_moves_the_request_to_the_baseline(spark, ads, snapsho
     broken = make(spark, "ad_features", ("snap", "ad-1", 3, 4))
     resolved = resolve(spark, snapshot)
     candidates = search.lexical_candidates(resolved.select("query"), ads)
-    log, results = search.serve(resolved, candidates, broken, make(spark, "models", model()))
-    assert rows(log, "policy", "model_version", "fallback_reason") == [("baseline", None, "invalid_score")]
-    for r in results.collect():
+    served = search.serve(resolved, candidates, broken, make(spark, "models", model()))
+    assert rows(search.request_log(served), "policy", "model_version", "fallback_reason") == [("baseline", None, "invalid_score")]
+    for r in search.result_rows(served).collect():
         assert r["score"] == pytest.approx(r["text_relevance"] + 0.25 * r["smoothed_ctr"])
 
 

@@ -140,7 +140,7 @@ def test_small_split_is_refused(examples):
 
 def test_constant_feature_weighs_nothing(spark, examples):
     flat = examples.withColumn("smoothedCtr", F.lit(0.5))
-    fitted = training.click_pipeline(0.01).fit(flat)
+    fitted = training.fit_click_model(flat, 0.01)
     parameters = training.model_parameters(fitted)
     assert parameters["scales"][1] == 1.0 and parameters["coefficients"][1] == 0.0
     assert evaluation.max_parity_error(training.with_probability(fitted, flat), parameters) <= 1e-9
