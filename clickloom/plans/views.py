@@ -140,6 +140,12 @@ def served_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- deliveries with retries, reused ids and bad clocks --------------------------------------
 
 
+def _variants(base: DataFrame, variants: list[tuple[Column, Column]]) -> DataFrame:
+    """One output row per variant whose condition holds; the base is read once."""
+    chosen = F.array(*[F.when(condition, row) for condition, row in variants])
+    return base.select(F.inline(F.array_compact(chosen)))
+
+
 def impression_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sessions(spark, sf_dir)
     last = rows.groupBy("session").agg(F.max("k").alias("last_k"))
@@ -147,11 +153,11 @@ def impression_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where("event_type = 'view'").join(last, "session")
         .withColumn("received", F.col("ts") + minutes(F.col("event_id") % 75))
     )
+    value = F.col("value")
 
-    def variant(n: int, low: float, high: float, *, id_prefix="impression", ad=F.col("k"), late=0, occurred=None):
+    def variant(n: int, *, id_prefix="impression", ad=F.col("k"), late=0, occurred=None) -> Column:
         received = F.col("received") + minutes(F.lit(late))
-        chosen = base if n == 0 else base.where((F.col("value") >= low) & (F.col("value") < high))
-        return chosen.select(
+        return F.struct(
             (F.col("event_id") * 10 + n).alias("delivery_id"),
             named(id_prefix, F.col("event_id")).alias("id"),
             named("request", F.col("session")).alias("request_id"),
@@ -160,26 +166,28 @@ def impression_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
             received.alias("received_at"),
         )
 
-    parts = [
-        variant(0, 0, 0),
-        variant(1, 0, 10, late=120),
-        variant(2, 10, 20, ad=F.col("k") + 1, late=1),
-        variant(3, 20, 40, id_prefix="again", late=2),
-        variant(4, 20, 40, id_prefix="again", ad=F.col("last_k"), late=3),
-        variant(5, 40, 45, id_prefix="future", occurred=1),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    def band(low: float, high: float) -> Column:
+        return (value >= low) & (value < high)
+
+    return _variants(
+        base,
+        [
+            (F.lit(True), variant(0)),
+            (band(0, 10), variant(1, late=120)),
+            (band(10, 20), variant(2, ad=F.col("k") + 1, late=1)),
+            (band(20, 40), variant(3, id_prefix="again", late=2)),
+            (band(20, 40), variant(4, id_prefix="again", ad=F.col("last_k"), late=3)),
+            (band(40, 45), variant(5, id_prefix="future", occurred=1)),
+        ],
+    )
 
 
 def click_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _session_clicks(spark, sf_dir).withColumn("received", F.col("ts") + minutes(F.col("event_id") % 75))
+    value = F.col("value")
 
-    def variant(n: int, low: float, high: float, *, earlier=0, late=0):
-        chosen = base if n == 0 else base.where((F.col("value") >= low) & (F.col("value") < high))
-        return chosen.select(
+    def variant(n: int, *, earlier=0, late=0) -> Column:
+        return F.struct(
             (F.col("event_id") * 10 + n).alias("delivery_id"),
             named("click", F.col("event_id")).alias("id"),
             named("impression", F.col("shown")).alias("impression_id"),
@@ -187,7 +195,14 @@ def click_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("received") + minutes(F.lit(late))).alias("received_at"),
         )
 
-    return variant(0, 0, 0).unionByName(variant(1, 0, 10, late=120)).unionByName(variant(2, 10, 20, earlier=1, late=1))
+    return _variants(
+        base,
+        [
+            (F.lit(True), variant(0)),
+            ((value >= 0) & (value < 10), variant(1, late=120)),
+            ((value >= 10) & (value < 20), variant(2, earlier=1, late=1)),
+        ],
+    )
 
 
 # ---- search input and configuration ---------------------------------------------------------

@@ -218,3 +218,40 @@ def test_model_rules_name_the_fault(spark, examples):
 
 def test_declared_schema_names():
     assert [f.split()[0] for f in TRAINING_EXAMPLE.split(", ")][-1] == "label"
+
+
+def test_native_scorer_equals_an_arrow_twin(spark, examples):
+    import numpy as np
+    import pandas as pd
+
+    parameters = {"means": [0.2, 0.3, 5.0], "scales": [0.1, 0.2, 1.5], "coefficients": [1.0, -2.0, 0.5], "intercept": -0.3}
+    m, s, c = (np.array(parameters[k]) for k in ("means", "scales", "coefficients"))
+
+    @F.pandas_udf("double")
+    def twin(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
+        z = parameters["intercept"] + ((np.column_stack([a, b, d]) - m) / s) @ c
+        return pd.Series(1 / (1 + np.exp(-z)))
+
+    scored = examples.withColumn("p", twin("textRelevance", "smoothedCtr", "logImpressions"))
+    assert evaluation.max_parity_error(scored, parameters) <= 1e-12
+    with pytest.raises(ValueError, match="differ"):
+        evaluation.max_parity_error(scored.withColumn("p", F.col("p") + 1e-6), parameters)
+
+
+def test_digests_ignore_order_and_files(spark, examples, tmp_path):
+    one = provenance.rows_sha256(examples.repartition(1)).first()["sha256"]
+    assert one == provenance.rows_sha256(examples.repartition(7, "adId")).first()["sha256"]
+    assert one != provenance.rows_sha256(examples.limit(6399)).first()["sha256"]
+    assert one != provenance.rows_sha256(examples.unionByName(examples.limit(1))).first()["sha256"]
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(["x", "y"] if name == "a" else ["y", "x"]):
+            (tmp_path / name / f"part-{i}").write_text(text)
+    digests = {provenance.files_sha256(spark, str(tmp_path / name)).first()["sha256"] for name in ("a", "b")}
+    assert len(digests) == 1
+    assert provenance.source_id("ab") == "sha256:ab" and provenance.source_id("ab", synthetic=True) == "synthetic:ab"
+
+
+def test_ad_snapshot_from_json_array(spark):
+    df = spark.createDataFrame([("s", '[{"adId":"a","impressions":3,"clickedImpressions":1}]'), ("t", "[]")], "id STRING, rows STRING")
+    assert rows(tables.json_array_rows(df, "rows", "adId STRING, impressions BIGINT, clickedImpressions BIGINT")) == [("s", "a", 3, 1)]
