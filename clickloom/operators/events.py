@@ -1,8 +1,8 @@
 """Classification of delivered events: accepted, replay, conflict or rejected.
 
 The outcome of a delivery is the one it would have had if all deliveries were processed in
-order of receipt (ties by delivery id). Deliveries: delivery_id, id, the payload, occurred_at,
-received_at.
+order of receipt (ties by delivery id). Deliveries: delivery_id (unique), id, the payload,
+occurred_at, received_at.
 """
 
 from __future__ import annotations

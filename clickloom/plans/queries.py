@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import click_model, hashing
+from clickloom.functions.columns import matured
 from clickloom.operators import (
     asof,
     attribution,
@@ -24,6 +25,7 @@ from clickloom.operators import (
 )
 from clickloom.plans import oracle as o
 from clickloom.plans import training_run, views
+from clickloom.schemas import MATURITY_HOURS
 from clickloom.session import scratch_path
 from clickloom.sources import synthetic, tables
 from clickloom.streaming import jobs
@@ -935,24 +937,26 @@ def _(spark, sf):
 
 # ---- streaming ----------------------------------------------------------------------------------
 
-_STREAM_LIMIT = """(SELECT least(max(CASE WHEN event_type='view' THEN ts END), max(CASE WHEN event_type='click' THEN ts END)) FROM ev)"""
+_STREAM_LIMIT = "(SELECT least((SELECT max(occurred_at) FROM simp), (SELECT max(occurred_at) FROM sclk)))"
+_STREAM_LABELS = """SELECT i.id, i.ad_id, i.occurred_at, EXISTS (SELECT 1 FROM sclk c WHERE c.impression_id=i.id
+    AND c.occurred_at>=i.occurred_at AND c.occurred_at<i.occurred_at+INTERVAL 24 HOURS) AS hit FROM simp i"""
 
 
-def _event_stream(spark, sf):
-    schema = views.table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return rows.withColumn("ad_id", F.get_json_object("props", "$.k").cast("long"))
+def _as_stream(spark, df: DataFrame, name: str) -> DataFrame:
+    """A file stream of a table, as an ingest would leave it in the shared folder."""
+    path = scratch_path(spark, name)
+    tables.write_new(df, path)
+    return spark.readStream.schema(df.schema).parquet(path)
 
 
 def _label_stream(spark, sf):
-    rows = _event_stream(spark, sf)
-    shown = rows.where("event_type = 'view'").select(
-        F.col("event_id").alias("impression_id"), "user_id", "ad_id", F.col("ts").cast("timestamp").alias("impression_ts")
+    shown = views.served_impressions(spark, sf).select(
+        F.col("id").alias("impression_id"), "ad_id", F.col("occurred_at").cast("timestamp").alias("impression_ts")
     )
-    acted = rows.where("event_type = 'click'").select(
-        F.col("event_id").alias("click_id"), "user_id", F.col("ts").cast("timestamp").alias("click_ts")
+    acted = views.served_clicks(spark, sf).select(
+        F.col("id").alias("click_id"), "impression_id", F.col("occurred_at").cast("timestamp").alias("click_ts")
     )
-    return jobs.mature_labels(shown, acted, on="user_id")
+    return jobs.mature_labels(_as_stream(spark, shown, "impressions"), _as_stream(spark, acted, "clicks"))
 
 
 def _run_stream(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -963,30 +967,25 @@ def _run_stream(spark, stream: DataFrame, name: str) -> DataFrame:
 
 @query(
     "streaming_mature_labels",
-    f"""SELECT impression_id, ad_id, CAST(CASE WHEN hit THEN 1 ELSE 0 END AS INTEGER) AS label FROM (
-      SELECT i.impression_id, i.ad_id, i.impression_ts, EXISTS (SELECT 1 FROM clk c WHERE c.user_id=i.user_id
-        AND c.click_ts>=i.impression_ts AND c.click_ts<i.impression_ts+INTERVAL 24 HOURS) AS hit FROM imp i)
-    WHERE impression_ts + INTERVAL 25 HOURS <= {_STREAM_LIMIT}""",
+    f"""SELECT id AS impression_id, ad_id, CAST(CASE WHEN hit THEN 1 ELSE 0 END AS INTEGER) AS label FROM ({_STREAM_LABELS})
+    WHERE occurred_at + INTERVAL 25 HOURS <= {_STREAM_LIMIT}""",
 )
 def _(spark, sf):
     labels = _run_stream(spark, _label_stream(spark, sf), "labels")
-    ends = views.events(spark, sf).agg(
-        F.least(
-            F.max(F.when(F.col("event_type") == "view", F.col("ts"))),
-            F.max(F.when(F.col("event_type") == "click", F.col("ts"))),
-        ).alias("limit")
-    ).first()["limit"]
-    mature = F.col("impression_ts").cast("timestamp_ntz") + F.expr("INTERVAL 25 HOURS") <= F.lit(str(ends)).cast("timestamp_ntz")
+    ends = [
+        views.served_impressions(spark, sf).agg(F.max("occurred_at")).first()[0],
+        views.served_clicks(spark, sf).agg(F.max("occurred_at")).first()[0],
+    ]
+    # Positives come out at once; the report waits for their maturity as for that of the negatives.
+    mature = matured(F.col("impression_ts").cast("timestamp_ntz"), min(ends), MATURITY_HOURS)
     return labels.where(mature).select("impression_id", "ad_id", "label")
 
 
 @query(
     "streaming_daily_ctr",
-    f"""SELECT CAST(impression_ts AS DATE) AS day, ad_id, count(*) AS impressions, count(*) FILTER (WHERE hit) AS clicked,
-      CAST(count(*) FILTER (WHERE hit) AS DOUBLE)/count(*) AS ctr FROM (
-      SELECT i.ad_id, i.impression_ts, EXISTS (SELECT 1 FROM clk c WHERE c.user_id=i.user_id
-        AND c.click_ts>=i.impression_ts AND c.click_ts<i.impression_ts+INTERVAL 24 HOURS) AS hit FROM imp i)
-    WHERE date_trunc('day',impression_ts) + INTERVAL 49 HOURS <= {_STREAM_LIMIT} GROUP BY 1,2""",
+    f"""SELECT CAST(occurred_at AS DATE) AS day, ad_id, count(*) AS impressions, count(*) FILTER (WHERE hit) AS clicked,
+      CAST(count(*) FILTER (WHERE hit) AS DOUBLE)/count(*) AS ctr FROM ({_STREAM_LABELS})
+    WHERE date_trunc('day',occurred_at) + INTERVAL 49 HOURS <= {_STREAM_LIMIT} GROUP BY 1,2""",
 )
 def _(spark, sf):
     return _run_stream(spark, jobs.daily_ctr(_label_stream(spark, sf)), "daily-ctr")

@@ -18,19 +18,19 @@ def ingest(events: DataFrame, *, event_ts: str, key: str) -> DataFrame:
     return events.withWatermark(event_ts, f"{LATENESS_HOURS} hours").dropDuplicatesWithinWatermark([key])
 
 
-def mature_labels(impressions: DataFrame, clicks: DataFrame, *, on: str = "impression_id") -> DataFrame:
+def mature_labels(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
     """Each impression once with ``label`` 1 at its first attributed click, or 0 after the window.
 
-    impressions: impression_id, the key ``on``, impression_ts, any others; clicks: click_id, the
-    key, click_ts. A positive comes out when its click is seen; reports over closed ranges must
-    still apply the maturity rule.
+    impressions: impression_id, impression_ts, any others; clicks: click_id, impression_id,
+    click_ts. A click meets the one impression it names. A positive comes out when its click is
+    seen; reports over closed ranges must still apply the maturity rule.
     """
     shown = ingest(impressions, event_ts="impression_ts", key="impression_id")
     acted = ingest(clicks, event_ts="click_ts", key="click_id").select(
-        F.col(on).alias("_key"), F.col("click_ts").alias("_click_ts")
+        F.col("impression_id").alias("_key"), F.col("click_ts").alias("_click_ts")
     )
     within = F.expr(
-        f"{on} = _key AND _click_ts >= impression_ts "
+        "impression_id = _key AND _click_ts >= impression_ts "
         f"AND _click_ts < impression_ts + INTERVAL {ATTRIBUTION_HOURS} HOURS"
     )
     joined = shown.join(acted, within, "left_outer")

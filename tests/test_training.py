@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,9 +223,6 @@ def test_declared_schema_names():
 
 
 def test_native_scorer_equals_an_arrow_twin(spark, examples):
-    import numpy as np
-    import pandas as pd
-
     parameters = {"means": [0.2, 0.3, 5.0], "scales": [0.1, 0.2, 1.5], "coefficients": [1.0, -2.0, 0.5], "intercept": -0.3}
     m, s, c = (np.array(parameters[k]) for k in ("means", "scales", "coefficients"))
 
