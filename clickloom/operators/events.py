@@ -98,17 +98,18 @@ def classify_impressions(deliveries: DataFrame, requests: DataFrame, results: Da
     outside = (F.col("occurred_at") < F.col("_returned")) | (
         F.col("occurred_at") >= F.col("_returned") + hours(EXPOSURE_HOURS)
     )
-    checked = joined.withColumn(
-        "problem",
-        F.when(_missing("id", "request_id", "ad_id", "occurred_at"), "missing_field")
-        .when(_clock_problem(), "clock")
-        .when(F.col("_returned").isNull(), "result_not_found")
-        .when(outside, "exposure_window"),
-    ).select(*deliveries.columns, "problem")
-    payload = ["request_id", "ad_id", "occurred_at"]
-    edges = cut_lineage(
-        checked.where("problem IS NULL").groupBy("id", *payload).agg(F.min(_order()).alias("_at"))
+    # Kept once: the rounds below and the outcomes both start from it.
+    checked = cut_lineage(
+        joined.withColumn(
+            "problem",
+            F.when(_missing("id", "request_id", "ad_id", "occurred_at"), "missing_field")
+            .when(_clock_problem(), "clock")
+            .when(F.col("_returned").isNull(), "result_not_found")
+            .when(outside, "exposure_window"),
+        ).select(*deliveries.columns, "problem")
     )
+    payload = ["request_id", "ad_id", "occurred_at"]
+    edges = checked.where("problem IS NULL").groupBy("id", *payload).agg(F.min(_order()).alias("_at"))
     stored = (
         accept_impressions(edges)
         .select("_at")
