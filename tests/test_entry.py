@@ -21,7 +21,7 @@ def test_entry(spark):
 
 
 def test_every_query_but_the_fit_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"train_model"}
+    assert set(entry.QUERIES) - set(entry.ORACLE) == {"train_model"}
 
 
 # The queries that no other test exercises on the given tables.
