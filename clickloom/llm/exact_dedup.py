@@ -150,7 +150,7 @@ def update_index(index: DataFrame, added: DataFrame | None = None, removed: Data
     """The index after deleting the digests of ``removed`` and then inserting the rows of ``added``.
 
     ``added`` has ``digest, doc_id``, ``removed`` has ``digest``; further columns are ignored. A digest
-    that is deleted loses all its live copies; deleting an unknown digest changes nothing. ``buckets``
+    that is deleted loses all its live copies; null digests say nothing, and deleting an unknown digest changes nothing. ``buckets``
     is a property of the index: use the same number for its whole life, about one per 100 000 digests.
     """
     if added is None and removed is None:
@@ -158,7 +158,7 @@ def update_index(index: DataFrame, added: DataFrame | None = None, removed: Data
     spark = index.sparkSession
     changes = spark.createDataFrame([], "digest string, keep_id long, group_size long, removed boolean")
     if added is not None:
-        rows = added.select(F.col("digest").cast("string"), F.col("doc_id").cast("long"))
+        rows = added.select(F.col("digest").cast("string"), F.col("doc_id").cast("long")).where("digest IS NOT NULL")
         seen = rows.mapInPandas(_first_seen, "digest string, keep_id long, group_size long")
         changes = changes.unionByName(
             # The sum has a map side, so that a hot digest reaches its bucket as one row a task.
@@ -167,9 +167,9 @@ def update_index(index: DataFrame, added: DataFrame | None = None, removed: Data
             .withColumn("removed", F.lit(False))
         )
     if removed is not None:
-        gone = removed.select(F.col("digest").cast("string")).distinct()
+        gone = removed.select(F.col("digest").cast("string")).where("digest IS NOT NULL").distinct()
         changes = changes.unionByName(gone.withColumn("removed", F.lit(True)), allowMissingColumns=True)
-    changes = changes.where("digest IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    changes = changes.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
     return index.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInPandas(_apply, INDEX)
 
 

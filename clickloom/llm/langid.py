@@ -225,7 +225,7 @@ def judge(models: dict[str, Model], order: int, limit: float, excess: float):
         mean, spread = np.array([m.mean for m in scorer.models]), np.array([m.spread for m in scorer.models])
         for texts in series:
             # Ranges of bounded text: long documents need no more memory than others.
-            part = (texts.str.len().fillna(0).cumsum() // 2_000_000).to_numpy()
+            part = np.cumsum([len(t or "") for t in texts]) // 2_000_000
             outs = []
             for _, rows in texts.groupby(part, sort=True):
                 found = [symbols(t or "") for t in rows]
@@ -246,7 +246,7 @@ def judge(models: dict[str, Model], order: int, limit: float, excess: float):
     return run
 
 
-def identify(docs: DataFrame, models: dict[str, Model], order: int = 4, limit: float = 12.0, excess: float = 1.5, id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: dict[str, Model], order: int = 4, limit: float = 4.0, excess: float = 1.5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, accepted, cross_entropy, n_letters`` of each row, over whole texts.
 
     ``score`` is the share of the best language in the evidence, by the cross-entropies of the text taken
@@ -260,6 +260,6 @@ def identify(docs: DataFrame, models: dict[str, Model], order: int = 4, limit: f
     return rows.select("doc_id", "_judged.*")
 
 
-def keep_identified(docs: DataFrame, models: dict[str, Model], order: int = 4, limit: float = 12.0, excess: float = 1.5, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, models: dict[str, Model], order: int = 4, limit: float = 4.0, excess: float = 1.5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is accepted; nothing is shuffled and no column changes."""
     return docs.where(judge(models, order, limit, excess)(docs[text])["accepted"])

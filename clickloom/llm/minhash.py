@@ -154,7 +154,7 @@ def _rest_of_buckets(members: DataFrame, signatures: DataFrame, least: int) -> D
     open_ = open_.join(signatures, "node").withColumn("own", own)
     dealt = open_.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
 
-    def compare(_, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.reset_index(drop=True)
         signature = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
         node, component, at_home = (frame[c].to_numpy() for c in ("node", "component", "home"))
