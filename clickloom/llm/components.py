@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         mark = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the groups of the pairs ``i, j``; ``label`` holds the first member of each one's group."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import keep
-from clickloom.llm.components import components
+from clickloom.llm.components import components, join_labels
 
 #: Vectors in a block, and the tile's side inside a task.
 BLOCK, TILE = 4096, 1024
@@ -62,17 +62,6 @@ def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
     return np.linalg.eigh(matrix)[1][:, ::-1]
 
 
-def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the groups of the pairs ``i, j``; ``label`` holds the first member of each one's group."""
-    while len(i):
-        a, b = label[i], label[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def close_pairs(a: np.ndarray, b: np.ndarray, rotated_a: np.ndarray, rotated_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of a tile whose cosine, in double precision, reaches ``least``."""
     dims = rotated_a.shape[1]

@@ -6,8 +6,11 @@
 3. In each bucket of equal keys every member is compared with the smallest one: by signature first, and
    then exactly, on the full sets.
 4. Components of these links leave few buckets with several components. Members of such a bucket that
-   are not in its largest component are compared with the rest of it, in blocks, and exactly.
-5. Components of all links, and from representatives back to documents.
+   are not in its largest component meet the rest of it by signature, block by block; what agrees across
+   components ties the components to a cluster, by at most one tie per member and block.
+5. In a cluster of several components the members of all but the largest meet the rest of it once more,
+   block by block, now on the full sets; what is similar enough gives the remaining links.
+6. Components of all links, and from representatives back to documents.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import keep
-from clickloom.llm.components import components
+from clickloom.llm.components import components, join_labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Deviations of a signature's estimate below the threshold at which a pair is still checked exactly.
 SLACK = 5.0
-#: Members of a bucket in a block of step 4.
-BLOCK = 256
+#: Members in a block of steps 4 and 5.
+BLOCK = 1024
+#: Ids that are sent to all tasks to pick texts; beyond, texts are joined to them by a shuffle.
+SENT_IDS = 4_000_000
 #: Distinct words that a worker remembers the hash of before it starts anew.
 MEMO = 500_000
 
@@ -115,12 +120,9 @@ def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id: str, text: str) -> DataFrame:
-    """Of the distinct pairs ``a, b`` those whose full sets are similar enough.
-
-    Only the texts of documents that occur in a pair are shingled again, once each.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def shingle_sets(nodes: DataFrame, docs: DataFrame, words: int, id: str, text: str) -> DataFrame:
+    """``node, shingles`` of the rows whose id is among ``nodes``: only their texts are shingled again."""
+    wanted = keep(nodes.select("node").distinct(), "wanted")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
@@ -130,7 +132,14 @@ def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id: str,
                 yield pd.DataFrame({"node": some["node"], "shingles": [shingler(t).astype("<i8") for t in some["text"]]})
 
     rows = docs.select(docs[id].cast("long").alias("node"), docs[text].alias("text")).where("node IS NOT NULL")
-    sets = keep(rows.join(wanted, "node", "left_semi").mapInPandas(run, "node long, shingles array<long>"), "sets")
+    # Either way the same rows: eight bytes an id go to every task, up to a bound, or all texts are shuffled.
+    picked = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted.hint("merge")
+    return keep(rows.join(picked, "node", "left_semi").mapInPandas(run, "node long, shingles array<long>"), "sets")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id: str, text: str) -> DataFrame:
+    """Of the distinct pairs ``a, b`` those whose full sets are similar enough."""
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, words, id, text)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -138,38 +147,80 @@ def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id: str,
     return compared.where(F.expr(f"100 * n >= {percent} * (m - n)")).select("a", "b")
 
 
-def _rest_of_buckets(members: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Pairs in a bucket and in different components whose signatures agree; step 4.
+def _meetings(members: DataFrame, group: str) -> DataFrame:
+    """Deals the rows ``group, node, component`` of groups with several components to block pairs.
 
-    ``members`` are ``key, node, component``. A member outside its bucket's largest component is copied
-    to each block of the bucket, the others lie in one block each.
+    Adds ``h, v, home``: rows of home block ``h`` meet the visitors of block ``v``, which are the members
+    outside the group's largest component. A member goes once to each visitor block as a host, and a
+    visitor once to each home block, so a group of n with s visitors makes about ``(n * s) / BLOCK`` rows
+    beyond its own n, and no meeting is larger than two blocks.
     """
-    by_component = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    buckets = by_component.groupBy("key").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("largest")
+    by_component = members.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"))
+    most = by_component.groupBy(group).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("largest")
     )
-    buckets = buckets.where("parts > 1").select("key", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    open_ = members.join(buckets, "key").withColumn("minor", F.col("component") != F.col("largest"))
-    open_ = open_.join(signatures, "node").withColumn("own", own)
-    dealt = open_.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    groups = most.where("parts > 1").select(
+        group, F.col("largest.component").alias("largest"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("visits"),
+    )
+    rows = members.join(groups, group)
+    home, visit = F.pmod(F.xxhash64("node"), F.col("homes")).cast("int"), F.pmod(F.xxhash64("node", F.lit(7)), F.col("visits")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_host = F.transform(upto("visits"), lambda v: F.struct(home.alias("h"), v.alias("v"), F.lit(True).alias("home")))
+    as_visitor = F.transform(upto("homes"), lambda h: F.struct(h.alias("h"), visit.alias("v"), F.lit(False).alias("home")))
+    places = F.when(F.col("component") == F.col("largest"), as_host).otherwise(F.concat(as_host, as_visitor))
+    return rows.select(group, "node", "component", F.explode(places).alias("_at")).select(group, "node", "component", "_at.*")
+
+
+def _ties(frame: pd.DataFrame, alike) -> pd.DataFrame:
+    """One tie per row at most, between what ``alike(visitor, hosts)`` finds across components."""
+    node, component, home = (frame[c].to_numpy() for c in ("node", "component", "home"))
+    hosts, label = np.flatnonzero(home), np.arange(len(frame))
+    for k in np.flatnonzero(~home):
+        near = hosts[alike(k, hosts)]
+        near = near[component[near] != component[k]]
+        join_labels(label, np.full(len(near), k), near)
+    tied = np.flatnonzero(label != np.arange(len(frame)))
+    a, b = node[tied], node[label[tied]]
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).query("a != b").drop_duplicates()
+
+
+def tied_components(members: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Ties ``a, b`` across components among ``members`` (``key, node, component``) by signature; step 4."""
 
     def compare(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
         signature = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
-        node, component, at_home = (frame[c].to_numpy() for c in ("node", "component", "home"))
-        a, b = [], []
-        for k in np.flatnonzero(frame["minor"].to_numpy()):
-            # The visitor meets the block's own members; between two minors the pair is seen from both sides.
-            other = np.flatnonzero(at_home & (component != component[k]))
-            near = other[(signature[other] == signature[k]).sum(axis=1) >= least]
-            a += [node[k]] * len(near)
-            b += list(node[near])
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+        return _ties(frame, lambda k, hosts: (signature[hosts] == signature[k]).sum(axis=1) >= least)
+
+    met = _meetings(members, "key").join(signatures, "node")
+    return met.groupBy("key", "h", "v").applyInPandas(compare, "a long, b long").distinct()
+
+
+def linked_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` across components among ``members`` (``cluster, node, component``) on full sets; step 5.
+
+    Of the links in a meeting as many are returned as connect what they connect.
+    """
+
+    def compare(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        home, size = frame["home"].to_numpy(), frame["shingles"].str.len().to_numpy()
+        hosts = np.flatnonzero(home)
+        owner = np.repeat(np.arange(len(hosts)), size[hosts])
+        values = np.concatenate([np.zeros(0, np.int64), *frame["shingles"].to_numpy()[hosts]])
+        rank = np.argsort(values, kind="stable")
+        values, owner = values[rank], owner[rank]
+
+        def alike(k: int, hosts: np.ndarray) -> np.ndarray:
+            own = np.asarray(frame["shingles"].iat[k])
+            first, end = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+            found = np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange((end - first).sum())
+            shared = np.bincount(owner[found], minlength=len(hosts))
+            return 100 * shared >= percent * (size[hosts] + size[k] - shared)
+
+        return _ties(frame, alike)
 
-    shown = dealt.select("key", "block", "node", "component", "minor", "signature", (F.col("own") == F.col("block")).alias("home"))
-    return shown.groupBy("key", "block").applyInPandas(compare, "a long, b long").distinct()
+    met = _meetings(members, "cluster").join(sets, "node")
+    return met.groupBy("cluster", "h", "v").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -203,14 +254,20 @@ def near_duplicates(
     pairs = keep(_agreeing(signed_pairs, least), "pairs")
     links = keep(linked(pairs, docs, words, percent, id, text), "links")
     first = components(links, "first")
-    placed = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    more = keep(_rest_of_buckets(placed, signatures, least), "more-pairs")
-    all_links = links.union(linked(more, docs, words, percent, id, text))
+    component: Column = F.coalesce("component", "node").alias("component")
+    placed = shared.join(first, "node", "left").select("key", "node", component)
+    ties = keep(tied_components(placed, signatures, least), "ties")
+    clusters = components(links.union(ties), "clusters").withColumnRenamed("component", "cluster")
+    apart = clusters.join(first, "node", "left").select("cluster", "node", component)
+    open_ = apart.groupBy("cluster").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q").select("cluster")
+    apart = keep(apart.join(open_, "cluster"), "open-clusters")
+    more = linked_across(apart, shingle_sets(apart, docs, words, id, text), percent)
+    all_links = links.union(more)
     # Rows of a set without an own signature follow their representative.
     follows = signed.join(members, "set_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(all_links.union(follows), "final")
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
-    component: Column = F.coalesce("component", "doc_id")
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

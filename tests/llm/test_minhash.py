@@ -75,22 +75,47 @@ def test_edges(docs):
     assert minhash.near_duplicates(docs()).count() == 0
 
 
-def test_rest_of_buckets_finds_pairs_beside_the_hub(spark):
-    """Two members unlike their hub but like each other are still compared."""
+def reached(ties, start=()):
+    """Groups that pairs connect, as sorted tuples."""
+    groups = [{a, b} for a, b in [*ties, *start]]
+    done = []
+    while groups:
+        g = groups.pop()
+        for other in [o for o in groups if o & g]:
+            g |= other
+            groups.remove(other)
+            groups.append(g)
+            g = None
+            break
+        if g:
+            done.append(tuple(sorted(g)))
+    return sorted(done)
+
+
+def test_ties_beside_the_hub(spark):
+    """Two members unlike their hub but like each other are still tied."""
     members = spark.createDataFrame([(7, 1, 1), (7, 2, 1), (7, 8, 8), (7, 9, 9)], "key long, node long, component long")
     signature = {1: b"a" * 20, 2: b"a" * 20, 8: b"b" * 20, 9: b"b" * 19 + b"c"}
     signatures = spark.createDataFrame([(n, bytearray(s)) for n, s in signature.items()], "node long, signature binary")
-    got = minhash._rest_of_buckets(members, signatures, 15).collect()
+    got = minhash.tied_components(members, signatures, 15).collect()
     assert [(r["a"], r["b"]) for r in got] == [(9, 8)]
 
 
-def test_blocks_of_a_large_bucket_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
-    rows = [(7, n, 0 if n < 12 else n) for n in range(17)]
-    members = spark.createDataFrame(rows, "key long, node long, component long")
-    signatures = spark.createDataFrame([(n, bytearray(b"s" * 8)) for _, n, _ in rows], "node long, signature binary")
-    got = {(r["a"], r["b"]) for r in minhash._rest_of_buckets(members, signatures, 8).collect()}
-    assert got == {(a, b) for a in range(12, 17) for b in range(a)}
+@pytest.mark.parametrize("block", [3, 1024])
+def test_blocks_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    draw = random.Random(8)
+    base = list(range(40))
+    sets = {n: sorted({x if draw.random() > 0.12 else 1000 + draw.randrange(99) for x in base}) for n in range(30)}
+    # Some are joined already; all the other links between components must be found, or follow from those found.
+    component = {n: 0 if n < 12 else n for n in sets}
+    members = spark.createDataFrame([(7, n, c) for n, c in component.items()], "cluster long, node long, component long")
+    frame = spark.createDataFrame([(n, s) for n, s in sets.items()], "node long, shingles array<long>")
+    got = [(r["a"], r["b"]) for r in minhash.linked_across(members, frame, 80).collect()]
+    want = [(a, b) for a in sets for b in sets if a > b and component[a] != component[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})]
+    joined = [(0, n) for n in range(1, 12)]
+    assert want and reached(got, joined) == reached(want, joined)
+    assert len(got) <= 30 * 30
 
 
 def test_drop_near_copies_keeps_columns_and_one_of_each_group(docs):
