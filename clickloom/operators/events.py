@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.columns import hours
 from clickloom.schemas import ATTRIBUTION_HOURS, EXPOSURE_HOURS, LATENESS_HOURS
-from clickloom.session import cut_lineage
+from clickloom.session import cut_lineage, drop_scratch, scratch_table
 
 
 def _clock_problem() -> Column:
@@ -73,20 +73,25 @@ def accept_impressions(edges: DataFrame) -> DataFrame:
 
     ``edges`` are distinct valid payloads with the order ``_at`` of their first delivery. Every
     round settles all edges that are first at both ends and drops what they block; normally
-    nothing is left after one round, long chains of blocked ids only take more rounds.
+    nothing is left after one round. A chain of n edges that block each other takes n / 2 rounds, each
+    over what is still open. Winners and rest are written once a round, and the rest of the round before
+    is deleted.
     """
-    accepted: DataFrame | None = None
-    rest = edges
+    rest, accepted = scratch_table(edges, "edges"), None
     while True:
-        won = _claims(rest)
+        won = scratch_table(_claims(rest), "accepted")
         accepted = won if accepted is None else accepted.unionByName(won)
-        rest = cut_lineage(
+        left = scratch_table(
             rest.join(won.select("id"), "id", "left_anti").join(
                 won.select("request_id", "ad_id"), ["request_id", "ad_id"], "left_anti"
-            )
+            ),
+            "edges",
         )
-        if rest.isEmpty():
+        drop_scratch(rest)
+        if left.isEmpty():
+            drop_scratch(left)
             return accepted
+        rest = left
 
 
 def classify_impressions(deliveries: DataFrame, requests: DataFrame, results: DataFrame) -> DataFrame:

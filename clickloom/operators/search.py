@@ -13,64 +13,86 @@ from clickloom.functions import click_model, hashing, text
 from clickloom.functions.columns import epoch_micros
 from clickloom.operators.asof import asof_join
 from clickloom.operators.evaluation import model_rules
-from clickloom.operators.lookup import BROADCAST_ROWS, lookup_join
+from clickloom.operators.lookup import lookup_join
 from clickloom.operators.quality import with_violations
 from clickloom.operators.windows import top_per_group
 from clickloom.schemas import MAX_RESULTS, RETRIEVAL_DEPTH, SCHEMA_VERSION, SNAPSHOT_MAX_AGE_SECONDS
 
+#: Bounds of a history that is broadcast as a step function: rows, bytes, publications on one day.
+STEP_ROWS, STEP_BYTES, STEP_DAY = 200_000, 16 << 20, 64
 
-def token_postings(ads: DataFrame) -> DataFrame:
-    """token, ad_id and ``_tf``, the count of every token of that ad.
 
-    Title and category have at most 264 characters by the catalog contract, so the counts are small
-    enough to travel with each posting, and postings are made without a shuffle.
-    """
+def token_postings(ads: DataFrame) -> DataFrame:
+    """token, ad_id and ``tf``, how often the ad's title and category hold the token."""
     words = text.tokens(F.concat_ws(" ", "title", "category"))
+    # Repeats of a token lie in one ad: its count needs no shuffle.
     counted = ads.select(F.col("id").alias("ad_id"), words.alias("_words")).select(
         "ad_id",
-        F.map_from_arrays(
-            F.array_distinct("_words"),
+        F.explode(
             F.transform(
                 F.array_distinct("_words"),
-                lambda t: F.size(F.filter("_words", lambda w: w == t)),
-            ),
-        ).alias("_tf"),
+                lambda t: F.struct(t.alias("token"), F.size(F.filter("_words", lambda w: w == t)).alias("tf")),
+            )
+        ).alias("_p"),
     )
-    return counted.select(F.explode(F.map_keys("_tf")).alias("token"), "ad_id", "_tf")
+    return counted.select("_p.token", "ad_id", "_p.tf")
+
+
+def _relevance(least: Column) -> Column:
+    raw = F.lit(0.1) * least
+    return raw / (1 + raw)
 
 
 def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVAL_DEPTH) -> DataFrame:
     """query, ad_id, relevance, rank: the best ``depth`` ads holding all tokens of the query.
 
     relevance = raw / (1 + raw) with raw = 0.1 * the smallest term frequency over the query tokens;
-    ties go to the lower id. Each distinct query meets the ads on its rarest token only; the other
-    tokens are checked in place, and the ranking limit is applied before anything is shuffled.
+    ties go to the lower id. Queries that ask for the same set of tokens are one retrieval. For a
+    single token the ads are ranked per token before any query is met, so a token that every ad holds
+    gives ``depth`` rows. A set of several meets the ads on its rarest token, and only what all other
+    tokens hold as well goes on to the ranking.
     """
     asked = (
         queries.select("query").distinct()
-        .withColumn("_terms", F.array_distinct(text.tokens(F.col("query"))))
+        .withColumn("_terms", F.array_sort(F.array_distinct(text.tokens(F.col("query")))))
         .where(F.size("_terms") > 0)
     )
+    sets = asked.select("_terms").distinct()
     postings = token_postings(ads)
-    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    order = [F.desc("tf"), F.asc("ad_id")]
+    single = sets.where(F.size("_terms") == 1).select("_terms", F.col("_terms")[0].alias("token"))
+    # Among ads with one token the relevance rises with its frequency, so the order is the same.
+    best_single = top_per_group(postings, ["token"], order, depth).join(single, "token").select(
+        "_terms", "ad_id", F.col("tf").alias("_least"), "rank"
+    )
+
+    several = sets.where(F.size("_terms") > 1)
+    terms = several.select("_terms", F.explode("_terms").alias("token"))
+    frequency = postings.join(terms.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (
-        asked.select("query", "_terms", F.explode("_terms").alias("token"))
-        .join(frequency, "token")
-        .groupBy("query", "_terms")
+        terms.join(frequency, "token")
+        .groupBy("_terms")
         .agg(F.min(F.struct("_df", "token")).alias("_rarest"), F.count(F.lit(1)).alias("_found"))
-        # A token that no ad holds leaves the query without candidates.
+        # A token that no ad holds leaves the set without candidates.
         .where(F.col("_found") == F.size("_terms"))
-        .select("query", "_terms", F.col("_rarest.token").alias("token"))
+        .select("_terms", F.col("_rarest.token").alias("_first"))
+    )
+    met = rarest.join(postings.withColumnRenamed("token", "_first"), "_first")
+    others = F.array_except("_terms", F.array("_first"))
+    checked = met.select("_terms", "ad_id", F.col("tf").alias("_own"), F.explode(others).alias("token")).join(
+        postings, ["token", "ad_id"]
+    )
+    held = (
+        checked.groupBy("_terms", "ad_id")
+        .agg(F.least(F.min("tf"), F.min("_own")).alias("_least"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") == F.size("_terms") - 1)
+    )
+    best_several = top_per_group(held, ["_terms"], [F.desc("_least"), F.asc("ad_id")], depth).select(
+        "_terms", "ad_id", "_least", "rank"
     )
-    lowest = F.array_min(F.transform("_terms", lambda t: F.coalesce(F.element_at("_tf", t), F.lit(0))))
-    raw = F.lit(0.1) * F.col("_least")
-    scored = (
-        postings.join(rarest, "token")
-        .select("query", "ad_id", lowest.alias("_least"))
-        .where("_least > 0")
-        .select("query", "ad_id", (raw / (1 + raw)).alias("relevance"))
+    return asked.join(best_single.unionByName(best_several), "_terms").select(
+        "query", "ad_id", _relevance(F.col("_least")).alias("relevance"), "rank"
     )
-    return top_per_group(scored, ["query"], [F.desc("relevance"), F.asc("ad_id")], depth)
 
 
 # ---- snapshots and deployments as of a request ----------------------------------------------
@@ -93,25 +115,32 @@ def _day(ts: str | Column) -> Column:
 
 
 def latest_as_of(
-    requests: DataFrame, history: DataFrame, *, clocks: list[str], order: list[str], values: list[str], at: str
+    requests: DataFrame, history: DataFrame, *, clocks: list[str], order: list[str], values: list[str], at: str,
+    broadcast_rows: int = STEP_ROWS,
 ) -> DataFrame:
     """The one latest record of a keyless history at each request's time; NULL if there is none.
 
-    A history of at most ``BROADCAST_ROWS`` publications, and days between them, becomes a step
-    function by day and is broadcast, so requests neither move nor get scanned twice. A longer one
-    takes the general point-in-time join.
+    A history of at most ``broadcast_rows`` publications and days, of ``STEP_BYTES`` in all and with at
+    most ``STEP_DAY`` publications on a day, becomes a step function by day and is broadcast, so requests
+    neither move nor meet more than those. Any other takes the general point-in-time join, with the
+    same result.
     """
     complete = F.lit(True)
     for clock in clocks:
         complete = complete & F.col(clock).isNotNull()
     known = F.greatest(*[F.col(c) for c in clocks]) if len(clocks) > 1 else F.col(clocks[0])
     usable = history.where(complete)
-    size = usable.agg(
-        F.count(F.lit(1)).alias("n"), F.min(_day(known)).alias("first"), F.max(_day(known)).alias("last")
+    width = F.length(F.to_json(F.struct(*order, *values)))
+    by_day = usable.groupBy(_day(known).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
+    size = by_day.agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bytes").alias("bytes"),
+        F.min("day").alias("first"), F.max("day").alias("last"),
     ).first()
-    if size["n"] == 0:
+    if not size["n"]:
         return requests.select("*", *[F.lit(None).cast(history.schema[v].dataType).alias(v) for v in values])
-    if size["n"] + size["last"] - size["first"] > BROADCAST_ROWS:
+    days = size["last"] - size["first"] + 1
+    # A record is repeated on each day that it holds.
+    if size["n"] + days > broadcast_rows or size["most"] > STEP_DAY or size["bytes"] / size["n"] * (size["n"] + days) > STEP_BYTES:
         return asof_join(requests, history, [], left_ts=at, clocks=clocks, order=order, values=values)
     record = F.struct(*order, *[F.col(v).alias(f"_v_{v}") for v in values])
     # An interval counts on each day it touches; the last one is open and stands for all later days.
@@ -144,13 +173,15 @@ def active_deployment(deployments: DataFrame) -> DataFrame:
     return deployments.agg(F.max_by(F.struct(*deployments.columns), "revision").alias("_d")).select("_d.*")
 
 
-def deployment_as_of(requests: DataFrame, deployments: DataFrame, at: str = "created_at") -> DataFrame:
+def deployment_as_of(
+    requests: DataFrame, deployments: DataFrame, at: str = "created_at", broadcast_rows: int = STEP_ROWS
+) -> DataFrame:
     history = deployments.select(
         "revision", "changed_at", F.col("model_version").alias("deployed_model"), F.col("rollout_percent").alias("deployed_percent")
     )
     return latest_as_of(
         requests, history, clocks=["changed_at"], order=["revision"],
-        values=["deployed_model", "deployed_percent"], at=at,
+        values=["deployed_model", "deployed_percent"], at=at, broadcast_rows=broadcast_rows,
     )
 
 
@@ -235,14 +266,8 @@ def resolve_policy(
 # ---- ranking ------------------------------------------------------------------------------
 
 
-def rank_contexts(
-    contexts: DataFrame, candidates: DataFrame, ad_features: DataFrame, models: DataFrame, keep: int = MAX_RESULTS
-) -> DataFrame:
-    """Ranks each distinct (query, snapshot_id, model_version).
-
-    A context whose model yields one invalid score falls back to the baseline as a whole, which
-    ``invalid_score`` records. Adds the features used, so nothing has to be joined again later.
-    """
+def _scored_candidates(contexts: DataFrame, candidates: DataFrame, ad_features: DataFrame, models: DataFrame) -> DataFrame:
+    """The candidates of each distinct context with features and the model's probability ``_p``."""
     keys = ["query", "snapshot_id", "model_version"]
     pairs = contexts.select(*keys).distinct().join(candidates.select("query", "ad_id", "relevance"), "query")
     history = ad_features.select(
@@ -261,13 +286,26 @@ def rank_contexts(
     parameters = models.select(
         F.col("version").alias("model_version"), "means", "scales", "coefficients", "intercept"
     )
-    by_model = click_model.with_probability(
+    return click_model.with_probability(
         lookup_join(featured, parameters, "model_version"), "_p",
         ["text_relevance", "smoothed_ctr", "log_impressions"],
         *[F.col(c) for c in ("means", "scales", "coefficients", "intercept")],
     ).withColumn("_p", F.when(F.col("_valid"), F.col("_p")))
+
+
+def rank_contexts(
+    contexts: DataFrame, candidates: DataFrame, ad_features: DataFrame, models: DataFrame, keep: int = MAX_RESULTS
+) -> DataFrame:
+    """Ranks each distinct (query, snapshot_id, model_version).
+
+    A context whose model yields one invalid score falls back to the baseline as a whole, which
+    ``invalid_score`` records; ``missing`` counts its candidates without history, shown or not. Adds the features used, so nothing has to be joined again later.
+    """
+    keys = ["query", "snapshot_id", "model_version"]
+    by_model = _scored_candidates(contexts, candidates, ad_features, models)
     # Retrieval depth bounds a context at 200 rows.
     context = Window.partitionBy(*keys)
+    by_model = by_model.withColumn("missing", F.sum(F.col("cold").cast("long")).over(context))
     invalid = F.col("model_version").isNotNull() & (F.max(F.col("_p").isNull().cast("int")).over(context) == 1)
     scored = by_model.withColumn("invalid_score", invalid).withColumn(
         "score",
@@ -279,7 +317,8 @@ def rank_contexts(
         "position", F.row_number().over(context.orderBy(F.desc("score"), F.asc("ad_id")))
     ).where(F.col("position") <= keep)
     return ranked.select(
-        *keys, "ad_id", "position", "score", "text_relevance", "smoothed_ctr", "log_impressions", "cold", "invalid_score"
+        *keys, "ad_id", "position", "score", "text_relevance", "smoothed_ctr", "log_impressions", "cold", "invalid_score",
+        "missing",
     )
 
 
@@ -291,8 +330,11 @@ def serve(resolved: DataFrame, candidates: DataFrame, ad_features: DataFrame, mo
     keys = {"_snapshot": F.coalesce("snapshot_id", F.lit("")), "_model": F.coalesce("model_version", F.lit(""))}
     lists = (
         ranked.groupBy("query", "snapshot_id", "model_version")
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"), F.max("invalid_score").alias("_invalid"))
-        .select("query", *[c.alias(name) for name, c in keys.items()], "_items", "_invalid")
+        .agg(
+            F.sort_array(F.collect_list(item)).alias("_items"), F.max("invalid_score").alias("_invalid"),
+            F.max("missing").alias("_missing"),
+        )
+        .select("query", *[c.alias(name) for name, c in keys.items()], "_items", "_invalid", "_missing")
     )
     failed = F.coalesce(F.col("_invalid"), F.lit(False))
     return accepted.withColumns(keys).join(lists, ["query", *keys], "left").select(
@@ -302,11 +344,12 @@ def serve(resolved: DataFrame, candidates: DataFrame, ad_features: DataFrame, mo
         "snapshot_id", "experiment_id", "arm",
         F.when(failed, "invalid_score").otherwise(F.col("fallback_reason")).alias("fallback_reason"),
         F.slice("_items", F.lit(1), F.col("limit").cast("int")).alias("items"),
+        F.coalesce("_missing", F.lit(0)).alias("missing_features"),
     )
 
 
 def request_log(served: DataFrame) -> DataFrame:
-    return served.drop("items")
+    return served.drop("items", "missing_features")
 
 
 def result_rows(served: DataFrame) -> DataFrame:
@@ -319,20 +362,49 @@ def serving_rollup(requests: DataFrame) -> DataFrame:
     return requests.groupBy("policy", "fallback_reason").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def invalid_contexts(contexts: DataFrame, candidates: DataFrame, ad_features: DataFrame, models: DataFrame) -> DataFrame:
+    """query, snapshot_id, model_version of the contexts whose model yields an invalid score.
+
+    One maximum per context: nothing is ranked."""
+    featured = _scored_candidates(contexts.where("model_version IS NOT NULL"), candidates, ad_features, models)
+    keys = ["query", "snapshot_id", "model_version"]
+    return featured.groupBy(*keys).agg(F.max(F.col("_p").isNull()).alias("_invalid")).where("_invalid").select(*keys)
+
+
+def policy_rollup(resolved: DataFrame, candidates: DataFrame, ad_features: DataFrame, models: DataFrame) -> DataFrame:
+    """``serving_rollup`` of requests that are not ranked: only invalid scores are looked for."""
+    accepted = resolved.where(F.col("policy").isNotNull())
+    broken = invalid_contexts(accepted, candidates, ad_features, models).withColumn("_broken", F.lit(True))
+    same = ["query", "snapshot_id", "model_version"]
+    failed = F.coalesce("_broken", F.lit(False))
+    return serving_rollup(
+        accepted.join(broken, same, "left").select(
+            F.when(failed, "baseline").otherwise(F.col("policy")).alias("policy"),
+            F.when(failed, "invalid_score").otherwise(F.col("fallback_reason")).alias("fallback_reason"),
+        )
+    )
+
+
 def score_rollup(served: DataFrame) -> DataFrame:
-    """Score distribution and missing histories by policy."""
-    shown = served.select("policy", F.explode("items").alias("_item")).select("policy", "_item.*")
-    return shown.groupBy("policy").agg(
-        F.count(F.lit(1)).alias("results"),
-        F.sum("score").alias("score_total"),
-        F.max("score").alias("score_max"),
-        F.sum(F.col("cold").cast("long")).alias("missing_features"),
+    """By policy: the distribution of the scores shown, and how many candidates, shown or not, had no
+    history, counted for every request."""
+    shown = F.transform("items", lambda i: i["score"])
+    per_request = served.select(
+        "policy", "missing_features", F.coalesce(F.size("items"), F.lit(0)).alias("_n"),
+        F.aggregate(F.coalesce(shown, F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x).alias("_sum"),
+        F.array_max(shown).alias("_max"),
+    )
+    return per_request.groupBy("policy").agg(
+        F.sum(F.greatest("_n", F.lit(0)).cast("long")).alias("results"),
+        F.sum("_sum").alias("score_total"),
+        F.max("_max").alias("score_max"),
+        F.sum("missing_features").alias("missing_features"),
     )
 
 
 def feature_age(resolved: DataFrame) -> DataFrame:
-    """Requests that saw a snapshot, and its mean and greatest age in seconds."""
-    return resolved.where("snapshot_age_seconds IS NOT NULL").agg(
+    """Answered requests that saw a snapshot, and its mean and greatest age in seconds."""
+    return resolved.where("policy IS NOT NULL AND snapshot_age_seconds IS NOT NULL").agg(
         F.count(F.lit(1)).alias("requests"),
         F.avg("snapshot_age_seconds").alias("mean_age"),
         F.max("snapshot_age_seconds").alias("max_age"),

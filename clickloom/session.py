@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "clickloom", **conf: str) -> SparkSession:
     """UTC, ANSI and adaptive execution; everything else is left to the cluster."""
     builder = (
@@ -15,6 +18,8 @@ def build_session(app: str = "clickloom", **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
+        # Streaming state outside the executors' heap.
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
@@ -48,3 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back; ``drop_scratch`` deletes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(table: DataFrame) -> None:
+    """Deletes the files of a table made by ``scratch_table`` that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

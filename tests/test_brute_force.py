@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,15 +184,14 @@ def test_dense_index_and_pages(spark):
     assert read == sorted(ids)
 
 
-def test_latest_as_of_both_ways(spark, monkeypatch):
+def test_latest_as_of_both_ways(spark):
     rng = random.Random(9)
     requests = spark.createDataFrame([(i, moment(rng)) for i in range(100)], "id INT, t TIMESTAMP_NTZ")
     rows = [(f"s{i}", moment(rng), moment(rng)) for i in range(30)]
     history = spark.createDataFrame(rows, "sid STRING, c TIMESTAMP_NTZ, a TIMESTAMP_NTZ")
     args = dict(clocks=["c", "a"], order=["c", "a", "sid"], values=["sid"], at="t")
     small = search.latest_as_of(requests, history, **args)
-    monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
-    large = search.latest_as_of(requests, history, **args)
+    large = search.latest_as_of(requests, history, broadcast_rows=0, **args)
     expected = {}
     for r in requests.collect():
         seen = [h for h in rows if h[1] <= r["t"] and h[2] <= r["t"]]
@@ -200,6 +200,56 @@ def test_latest_as_of_both_ways(spark, monkeypatch):
         assert {r["id"]: r["sid"] for r in result.collect()} == expected
 
 
+def test_one_clock_and_a_crowded_day(spark):
+    """Ten thousand publications on one day take the general join; one clock is enough for both forms."""
+    rng = random.Random(10)
+    day = START.replace(hour=0, minute=0, second=0, microsecond=0)
+    history = spark.range(10_000).selectExpr("id AS rev", f"timestamp_ntz'{day}' + make_dt_interval(0, 0, 0, id * 8) AS c")
+    asked = [(i, day + dt.timedelta(seconds=rng.randrange(-100, 100_000))) for i in range(200)]
+    requests = spark.createDataFrame(asked, "id INT, t TIMESTAMP_NTZ")
+    args = dict(clocks=["c"], order=["rev"], values=["rev"], at="t")
+    want = {i: None if t < day else min(9_999, int((t - day).total_seconds() // 8)) for i, t in asked}
+    found = search.latest_as_of(requests, history, **args)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["rev"] for r in found.collect()} == want
+    few = history.where("rev % 500 = 0")
+    both = [search.latest_as_of(requests, few, broadcast_rows=n, **args).collect() for n in (200_000, 0)]
+    assert sorted(both[0]) == sorted(both[1])
+
+
+def test_chain_of_blocked_ids(spark):
+    """Each edge shares its id with the one before or its exposure with the one after: every second is taken."""
+    n = 51
+    rows = [(f"i{(k + 1) // 2}", f"r{k // 2}", "a", START, (START + dt.timedelta(seconds=k), k)) for k in range(n)]
+    edges = spark.createDataFrame(
+        rows, "id STRING, request_id STRING, ad_id STRING, occurred_at TIMESTAMP_NTZ, _at STRUCT<received_at: TIMESTAMP_NTZ, delivery_id: INT>"
+    )
+    taken = events.accept_impressions(edges).select("_at.delivery_id").collect()
+    assert sorted(r[0] for r in taken) == list(range(0, n, 2))
+
+
+def test_retrieval_against_every_ad(spark):
+    """One token in every ad, and many queries on it."""
+    rng = random.Random(3)
+    names = ["red", "ring", "box", "lamp"]
+    ads = [(f"a{k:03}", "thing " + " ".join(rng.choice(names) for _ in range(4)), "thing" if k % 3 else "other") for k in range(120)]
+    queries = ["thing", "Thing!", "red ring", "Ring red", "thing lamp box", "nowhere", "red nowhere", "", "ring ring"] + [f"thing {x}" for x in names]
+    frame = spark.createDataFrame(ads, "id STRING, title STRING, category STRING")
+    asked = spark.createDataFrame([(q,) for q in queries], "query STRING")
+    got = {}
+    for r in search.lexical_candidates(asked, frame, 7).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["ad_id"], round(r["relevance"], 12))
+    for q in queries:
+        terms = set(re.findall(r"\w+", q.lower()))
+        scored = []
+        for i, title, category in ads:
+            words = f"{title} {category}".lower().split()
+            least = min((words.count(t) for t in terms), default=0)
+            if least:
+                scored.append((-0.1 * least / (1 + 0.1 * least), i))
+        assert got.get(q, {}) == {k + 1: (i, round(-s, 12)) for k, (s, i) in enumerate(sorted(scored)[:7])}, q
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "id INT, t TIMESTAMP_NTZ")
     history = spark.createDataFrame([], "sid STRING, c TIMESTAMP_NTZ")
