@@ -27,6 +27,11 @@ def is_blank(text: Column) -> Column:
     return F.length(strip(text)) == 0
 
 
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units: characters beyond the basic plane count twice."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whole-text match; ``$`` alone would let a final line break pass."""
     return text.rlike(pattern.replace("$", r"\z"))

@@ -9,7 +9,7 @@ from clickloom.functions import hashing, stats
 from clickloom.functions.columns import instant, matured, ratio, visible
 from clickloom.operators.attribution import occurs_within
 from clickloom.operators.lookup import lookup_join
-from clickloom.operators.quality import require_unique
+from clickloom.operators.quality import ContractError, require_unique
 from clickloom.schemas import ATTRIBUTION_HOURS, MATURITY_HOURS
 
 
@@ -94,9 +94,13 @@ def experiment_report(
     impressions: DataFrame,
     clicks: DataFrame,
     as_of,
+    *,
+    now=None,
 ) -> DataFrame:
     """One row per experiment: counts, rates, intervals, allocation check. All assigned users
     are in the denominator, seen or not."""
+    if now is not None and as_of > now:
+        raise ContractError("The cutoff lies in the future")
     flagged = experiment_conversions(assignments, requests, impressions, clicks, as_of)
     counts = flagged.groupBy(F.col("experiment_id").alias("id")).agg(
         *[

@@ -49,17 +49,24 @@ def training_examples(
     )
 
 
+# Written to the microsecond; read with or without a zone, as both timestamp types are written.
+JSON_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+JSON_READ = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"}
+
+
 def frozen_payloads(examples: DataFrame, export_id: str) -> DataFrame:
-    """Rows of a frozen export; the payload is JSON text."""
+    """Rows of a frozen export; the payload is JSON text, with timestamps to the microsecond."""
     return examples.select(
         F.lit(export_id).alias("export_id"),
         F.col("impressionId").alias("impression_id"),
-        F.to_json(F.struct(*TRAINING_FIELDS)).alias("payload"),
+        F.to_json(F.struct(*TRAINING_FIELDS), JSON_TIMES).alias("payload"),
     )
 
 
 def thaw_payloads(frozen: DataFrame) -> DataFrame:
-    return frozen.select(F.from_json("payload", TRAINING_EXAMPLE).alias("_row")).select("_row.*")
+    return frozen.select(F.from_json("payload", TRAINING_EXAMPLE, JSON_READ).alias("_row")).select("_row.*")
 
 
 def with_split(examples: DataFrame, train_end, validation_end, as_of) -> DataFrame:

@@ -196,10 +196,24 @@ def test_frozen_export(spark, interactions, tmp_path):
         tables.freeze_export(examples, str(tmp_path), "x1", START)
     with pytest.raises(quality.ContractError):
         tables.freeze_export(examples, str(tmp_path), "x2", late, now=START)
-    thawed = training.thaw_payloads(spark.read.parquet(f"{tmp_path}/rows"))
+    # An attempt that died before its header leaves rows that no later read takes.
+    tables.write_new(examples.limit(1), f"{tmp_path}/rows/export_id=x3/attempt=dead")
+    assert tables.freeze_export(examples, str(tmp_path), "x3", late) == "created"
+    for name in ("x1", "x3"):
+        folder = tables.read_export(spark, str(tmp_path), name).first()["rows"]
+        assert spark.read.parquet(folder).count() == 2
+    thawed = training.thaw_payloads(spark.read.parquet(folder))
     assert rows(thawed, "impressionId", "label") == [("i1", 1.0), ("i2", 0.0)]
 
 
+def test_lengths_in_utf16_units_and_rounded_multisets(spark):
+    long, short = "\U0001F4F7" * 65, "\U0001F4F7" * 64
+    df = spark.createDataFrame([(long,), (short,), ("a" * 128,)], "s STRING")
+    assert [r[0] for r in df.select(quality.source_id_invalid(F.col("s"))).collect()] == [True, False, False]
+    a, b = (spark.createDataFrame([(x, "k")], "x DOUBLE, k STRING") for x in (0.1 + 0.2, 0.3))
+    assert quality.multiset_equal(a, b) and not quality.multiset_equal(a, b.union(b)) and not quality.multiset_equal(a, b, 17)
+
+
 def test_publications(spark, ads, ad_features):
     stored = spark.createDataFrame([("a", "1"), ("b", "1")], "id STRING, content_hash STRING")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "id STRING, content_hash STRING")

@@ -10,11 +10,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import evaluation, quality, training
+from clickloom.operators import evaluation, quality, search, training
 from clickloom.plans import training_run
 from clickloom.schemas import TRAINING_EXAMPLE
-from clickloom.sources import provenance, synthetic, tables
+from clickloom.sources import provenance, tables
 
+from . import synthetic
 from .conftest import rows
 
 AS_OF = dt.datetime(2026, 9, 21, 12)
@@ -74,7 +75,7 @@ def test_set_contracts(examples):
     moved = examples.withColumn(
         "predictionTime", F.when(first, F.col("predictionTime") - F.expr("INTERVAL 1 SECOND")).otherwise(F.col("predictionTime"))
     )
-    with pytest.raises(quality.ContractError, match="prediction time"):
+    with pytest.raises(quality.ContractError, match="predictionTime"):
         quality.validate_training(moved, AS_OF)
 
 
@@ -94,7 +95,7 @@ def test_split_purges_across_boundaries(spark):
 
 def test_run_writes_and_verifies(spark, examples, tmp_path):
     out = str(tmp_path / "run")
-    result = training_run.run(examples, out, version="ctr-v1", snapshot_id="snap-1", as_of=AS_OF, synthetic=True)
+    result = training_run.run(examples, out, version="ctr-v1", snapshot_id="snap-1", as_of=AS_OF, synthetic=True, now=AS_OF)
     m = result.metrics
     # The published sizes of the reference run: 3184 / 1352 / 912 rows, 952 purged.
     assert (m["train_rows"], m["validation_rows"], m["test_rows"], m["purged_rows"]) == (3184, 1352, 912, 952)
@@ -114,7 +115,13 @@ def test_run_writes_and_verifies(spark, examples, tmp_path):
     reloaded = training.with_probability(PipelineModel.load(f"{out}/pipeline"), examples)
     assert evaluation.max_parity_error(reloaded, result.parameters) <= 1e-9
     with pytest.raises(Exception, match="(?i)exists"):
-        training_run.run(examples, out, version="ctr-v1", snapshot_id="snap-1", as_of=AS_OF)
+        training_run.run(examples, out, version="ctr-v1", snapshot_id="snap-1", as_of=AS_OF, now=AS_OF)
+    # The published snapshot is the one that requests from then on are served with.
+    asked = spark.createDataFrame([(1, AS_OF), (2, AS_OF - dt.timedelta(seconds=1))], "id INT, created_at TIMESTAMP")
+    served = search.snapshot_as_of(asked, spark.read.parquet(f"{out}/feature_snapshot"))
+    assert {r["id"]: r["snapshot_id"] for r in served.collect()} == {1: "snap-1", 2: None}
+    with pytest.raises(quality.ContractError):
+        training_run.run(examples, out, version="ctr-v1", snapshot_id="snap-1", as_of=AS_OF, now=AS_OF - dt.timedelta(days=1))
     recorded = spark.read.schema("version STRING, source_id STRING, model_sha256 STRING, snapshot_sha256 STRING").json(f"{out}/manifest")
     changed = model.withColumn("intercept", F.col("intercept") + 1)
     assert rows(provenance.manifest_mismatches(recorded, changed, features).select("artifact")) == [("model",)]
@@ -136,7 +143,7 @@ def test_run_boundaries():
 
 def test_small_split_is_refused(examples):
     early = examples.where(F.col("predictionTime") < F.lit(AS_OF - dt.timedelta(days=8)))
-    with pytest.raises(quality.ContractError, match="needs at least"):
+    with pytest.raises(quality.ContractError, match="too few mature rows"):
         training_run.fit_and_evaluate(early, AS_OF - dt.timedelta(days=8), AS_OF - dt.timedelta(days=4), AS_OF)
 
 
