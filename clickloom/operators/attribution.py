@@ -103,12 +103,16 @@ WITH cohort AS (
   SELECT * FROM {impressions}
   WHERE CAST(impression_ts AS DATE) BETWEEN CAST(:day AS DATE) AND CAST(:last_day AS DATE)
     AND received_ts < CAST(:cutoff AS TIMESTAMP_NTZ)
+), days AS (
+  SELECT {on}, CAST(click_ts AS DATE) AS day, min(click_ts) AS first, max(click_ts) AS last
+  FROM {clicks} WHERE received_ts < CAST(:cutoff AS TIMESTAMP_NTZ)
+  GROUP BY {on}, CAST(click_ts AS DATE)
 ), flagged AS (
   SELECT ad_id, EXISTS (
-      SELECT 1 FROM {clicks} c
-      WHERE c.{on} = i.{on} AND c.received_ts < CAST(:cutoff AS TIMESTAMP_NTZ)
-        AND c.click_ts >= i.impression_ts
-        AND c.click_ts < i.impression_ts + INTERVAL 24 HOURS) AS hit
+      SELECT 1 FROM days c
+      WHERE c.{on} = i.{on}
+        AND (c.day = CAST(i.impression_ts AS DATE) AND c.last >= i.impression_ts
+          OR c.day = date_add(CAST(i.impression_ts AS DATE), 1) AND c.first < i.impression_ts + INTERVAL 24 HOURS)) AS hit
   FROM cohort i
 )
 SELECT ad_id, count(*) AS impressions, count_if(hit) AS clicked,
@@ -128,6 +132,9 @@ def clicked_impression_ctr_sql(
 ) -> DataFrame:
     """The same report as SQL text; ``EXISTS`` becomes an existence join on the click identifiers.
 
+    Of an impression's clicks a row per day is left before the join: its last click decides for the
+    impression's own day, the first one for the day after. So a flood of clicks on one impression stays
+    with the tasks that read it.
     Use it where impressions are unique by ``on``; the DataFrame form also bears hot keys.
     """
     return impressions.sparkSession.sql(

@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from clickloom.operators.quality import require_unique, unique_row_count
 from clickloom.operators.skew import HOT_MIN_ROWS, HOT_SHARE, salted_join
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def _json_bytes(df: DataFrame) -> int:
+    """Size of the rows as text, to bound what a broadcast holds; only strings and nested values can be long."""
+    wide = [name for name, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    fixed = 16 * (len(df.columns) - len(wide))
+    size = F.lit(fixed)
+    if wide:
+        size = size + F.length(F.to_json(F.struct(*wide)))
+    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
 
 
 def lookup_join(
@@ -23,13 +33,14 @@ def lookup_join(
 ) -> DataFrame:
     """Left join that keeps every fact. The lookup must have unique, non-null keys.
 
-    The check of the keys also counts the rows: up to ``broadcast_rows`` they are sent to all
-    executors and the facts do not move; a larger table is joined by a shuffle, whose hot
-    partitions adaptive execution splits.
+    The check of the keys also counts the rows: up to ``broadcast_rows`` of them, and
+    ``BROADCAST_BYTES`` as JSON text, are sent to all executors and the facts do not move; a larger
+    table is joined by a shuffle, whose hot partitions adaptive execution splits.
     """
     keys = [on] if isinstance(on, str) else list(on)
     rows = unique_row_count(lookup, keys)
-    joined = facts.join(F.broadcast(lookup) if rows <= broadcast_rows else lookup.hint("merge"), keys, "left")
+    small = rows <= broadcast_rows and _json_bytes(lookup) <= BROADCAST_BYTES
+    joined = facts.join(F.broadcast(lookup) if small else lookup.hint("merge"), keys, "left")
     return joined.withColumns(
         {name: F.coalesce(F.col(name), F.lit(text)) for name, text in (unknown or {}).items()}
     )

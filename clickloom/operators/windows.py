@@ -36,9 +36,10 @@ def latest_versions(events: DataFrame, cutoff: str, key: Sequence[str] = ("event
 def dense_calendar(daily: DataFrame, first_day: str, last_day: str, measures: Sequence[str]) -> DataFrame:
     """One row per ad and day of the calendar, zero where nothing happened.
 
-    ``daily`` has one row per ad and day, so an ad's days fit a small map that the calendar is read
-    from: the input is read and shuffled once, where a join with the calendar would do both twice.
+    Measures of one ad and day are summed first. Then an ad's days fit a small map that the calendar is
+    read from: the input is read and shuffled once, where a join with the calendar would do both twice.
     """
+    daily = daily.groupBy("ad_id", "day").agg(*[F.sum(m).alias(m) for m in measures])
     first, last = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
     entry = F.struct(F.col("day"), F.struct(*measures).alias("_m"))
     by_ad = daily.groupBy("ad_id").agg(

@@ -13,6 +13,7 @@ def formatted_plan(df: DataFrame, mode: str = "formatted") -> str:
 
 
 def final_plan(df: DataFrame) -> str:
-    """The plan that adaptive execution settled on; runs the query."""
-    df.collect()
+    """The plan that adaptive execution settled on; runs the query, whose rows stay where they arise."""
+    rows = df._jdf.queryExecution().toRdd()
+    rows.count()
     return df._jdf.queryExecution().executedPlan().toString()

@@ -84,6 +84,27 @@ CTES: dict[str, str] = {
         WHEN "predictionTime">={VALIDATION_END} AND "labelAvailableAt"<={AS_OF} THEN 'test' ELSE 'purged' END AS split
         FROM examples""",
     "scored": f"""SELECT *, {_sigmoid('(-1.0::DOUBLE+"textRelevance"+"smoothedCtr"+0.1::DOUBLE*"logImpressions")')} AS p FROM examples""",
+    # The fit, restated as gradient descent on the standardised training rows for both strengths: the penalised
+    # loss has one minimum, which enough fixed steps reach to well below the decimals compared.
+    "tstats": """SELECT avg("textRelevance") AS m0, avg("smoothedCtr") AS m1, avg("logImpressions") AS m2,
+        stddev_samp("textRelevance") AS s0, stddev_samp("smoothedCtr") AS s1, stddev_samp("logImpressions") AS s2,
+        avg(label) AS prior FROM split WHERE split='train'""",
+    "standard": """SELECT *, ("textRelevance"-m0)/s0 AS x0, ("smoothedCtr"-m1)/s1 AS x1, ("logImpressions"-m2)/s2 AS x2
+        FROM split CROSS JOIN tstats""",
+    "trainx": "SELECT x0, x1, x2, label AS y FROM standard WHERE split='train'",
+    "fits": """WITH RECURSIVE g(step, reg, w0, w1, w2, b) AS (
+          SELECT 0, reg, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM (VALUES (0.01::DOUBLE), (0.1::DOUBLE)) r(reg)
+          UNION ALL
+          SELECT step+1, reg, w0-1.5::DOUBLE*(avg((p-y)*x0)+reg*w0), w1-1.5::DOUBLE*(avg((p-y)*x1)+reg*w1),
+            w2-1.5::DOUBLE*(avg((p-y)*x2)+reg*w2), b-1.5::DOUBLE*avg(p-y)
+          FROM (SELECT g.*, x0, x1, x2, y, 1/(1+exp(-(w0*x0+w1*x1+w2*x2+b))) AS p FROM g CROSS JOIN trainx WHERE step<1000)
+          GROUP BY step, reg, w0, w1, w2, b)
+        SELECT * FROM g WHERE step=1000""",
+    "trials": """SELECT reg, avg(-(label*ln(p)+(1-label)*ln(1-p))) AS loss FROM (
+          SELECT reg, label, 1/(1+exp(-(w0*x0+w1*x1+w2*x2+b))) AS p FROM fits CROSS JOIN standard WHERE split='validation') GROUP BY reg""",
+    "chosen": """SELECT f.* FROM fits f JOIN (SELECT arg_min(reg, (loss, reg)) AS reg FROM trials) USING (reg)""",
+    "ftest": """SELECT s.*, 1/(1+exp(-(w0*x0+w1*x1+w2*x2+b))) AS p, "textRelevance"+0.25::DOUBLE*"smoothedCtr" AS baseline
+        FROM standard s CROSS JOIN chosen WHERE split='test'""",
     "daily": """SELECT ad_id, CAST(impression_ts AS DATE) AS day, count(*) AS impressions, count(*) FILTER (WHERE hit) AS clicked
         FROM (SELECT i.*, EXISTS (SELECT 1 FROM clk c WHERE c.user_id=i.user_id AND c.click_ts>=i.impression_ts
               AND c.click_ts<i.impression_ts+INTERVAL 24 HOURS) AS hit FROM imp i) GROUP BY 1,2""",
@@ -118,7 +139,6 @@ CTES: dict[str, str] = {
     "resolved0": f"""SELECT s.*, e.id IS NOT NULL AS has_exp, e.active,
         CASE WHEN e.active THEN CASE WHEN {_bucket('s.experiment_id','e.salt','s.user_id')} < e.treatment_percent*100
              THEN 'treatment' ELSE 'control' END END AS arm, e.model_version AS tm, d.dm, d.dp, n.snapshot_id AS sid,
-        CAST(epoch(s.created_at) AS DECIMAL(18,6)) AS dummy,
         CAST((epoch_us(s.created_at)-epoch_us(n.snapshot_cutoff))//1000000 AS BIGINT) AS age
         FROM searches s LEFT JOIN exps e ON e.id=s.experiment_id LEFT JOIN dep_at d ON d.request_id=s.id
         LEFT JOIN snap_at n ON n.request_id=s.id""",
@@ -194,15 +214,24 @@ CTES["ichecked"] = """SELECT d.*, CASE
     ON r.request_id=d.request_id AND r.ad_id=d.ad_id"""
 CTES["e0"] = """SELECT id, request_id, ad_id, occurred_at, min((received_at, delivery_id)) AS seen_at FROM ichecked
     WHERE problem IS NULL GROUP BY 1,2,3,4"""
-_ROUNDS = 4
-for _r in range(_ROUNDS):
-    CTES[f"w{_r}"] = f"""SELECT e.* FROM e{_r} e
-        JOIN (SELECT id, min(seen_at) AS seen_at FROM e{_r} GROUP BY 1) a ON a.id=e.id AND a.seen_at=e.seen_at
-        JOIN (SELECT request_id, ad_id, min(seen_at) AS seen_at FROM e{_r} GROUP BY 1,2) b
-          ON b.request_id=e.request_id AND b.ad_id=e.ad_id AND b.seen_at=e.seen_at"""
-    CTES[f"e{_r + 1}"] = f"""SELECT * FROM e{_r} e WHERE NOT EXISTS (SELECT 1 FROM w{_r} w WHERE w.id=e.id)
-        AND NOT EXISTS (SELECT 1 FROM w{_r} w WHERE w.request_id=e.request_id AND w.ad_id=e.ad_id)"""
-CTES["istored"] = " UNION ALL ".join(f"SELECT * FROM w{r}" for r in range(_ROUNDS))
+# Rounds until nothing is left, however many: each row says when its edge was taken, or that it is open. An
+# edge is taken once no earlier open edge shares its id or exposure, and blocked once a taken one does.
+CTES["istored"] = """WITH RECURSIVE n AS (
+      SELECT *, row_number() OVER (ORDER BY seen_at) AS k FROM e0),
+    conflicts AS (
+      SELECT a.k AS k, b.k AS earlier FROM n a JOIN n b ON a.id=b.id AND b.k<a.k
+      UNION SELECT a.k, b.k FROM n a JOIN n b ON a.request_id=b.request_id AND a.ad_id=b.ad_id AND b.k<a.k),
+    state(round, k, state) AS (
+      SELECT 0, k, CASE WHEN k IN (SELECT k FROM conflicts) THEN 'open' ELSE 'taken' END FROM n
+      UNION ALL
+      SELECT s.round+1, s.k, CASE
+          WHEN s.state<>'open' THEN s.state
+          WHEN EXISTS (SELECT 1 FROM conflicts c JOIN state t ON t.k=c.earlier WHERE c.k=s.k AND t.state='taken') THEN 'blocked'
+          WHEN NOT EXISTS (SELECT 1 FROM conflicts c JOIN state t ON t.k=c.earlier WHERE c.k=s.k AND t.state='open') THEN 'taken'
+          ELSE 'open' END
+      FROM state s WHERE EXISTS (SELECT 1 FROM state WHERE state='open'))
+    SELECT n.* EXCLUDE (k) FROM n JOIN state USING (k)
+    WHERE state='taken' AND round=(SELECT max(round) FROM state)"""
 CTES["iout"] = """SELECT d.* EXCLUDE (problem),
     CASE WHEN s.seen_at=(d.received_at,d.delivery_id) THEN 'accepted'
          WHEN s.seen_at<(d.received_at,d.delivery_id) THEN

@@ -18,6 +18,7 @@ from clickloom.operators import (
     experiments,
     lookup,
     paging,
+    publication,
     quality,
     search,
     training,
@@ -25,9 +26,9 @@ from clickloom.operators import (
 )
 from clickloom.plans import oracle as o
 from clickloom.plans import training_run, views
-from clickloom.schemas import MATURITY_HOURS
+from clickloom.schemas import FEATURES, MATURITY_HOURS, TRAINING_FIELDS
 from clickloom.session import scratch_path
-from clickloom.sources import synthetic, tables
+from clickloom.sources import provenance, tables
 from clickloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +162,18 @@ def _(spark, sf):
     return lookup.salted_lookup_join(facts, _categories(spark, sf), "ad_id", unknown={"category": "UNKNOWN"})
 
 
+_SALTED = """SELECT l_returnflag, l_orderkey, l_linenumber, n AS flag_rows FROM lineitem
+    JOIN (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1) USING (l_returnflag)"""
+
+
+@query("salted_join_of_hot_keys", _SALTED)
+def _(spark, sf):
+    """Three keys share all rows, so each of them is salted at any size."""
+    rows = views.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    counts = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("flag_rows"))
+    return lookup.salted_lookup_join(rows, counts, "l_returnflag", share=0.02, min_rows=1)
+
+
 @query(
     "top_ads_per_category",
     f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY ctr DESC, ad_id) AS INTEGER) AS rank
@@ -445,11 +458,12 @@ def _(spark, sf):
 
 @query(
     "frozen_export",
-    """SELECT "impressionId", "requestId", "adId", "schemaVersion", label FROM examples""",
+    _EXAMPLES,
 )
 def _(spark, sf):
     thawed = training.thaw_payloads(training.frozen_payloads(_examples(spark, sf), "export-1"))
-    return thawed.select("impressionId", "requestId", "adId", "schemaVersion", "label")
+    made = _examples(spark, sf).schema
+    return _rounded_examples(thawed.select(*[F.col(c).cast(made[c].dataType) for c in TRAINING_FIELDS]))
 
 
 @query(
@@ -726,8 +740,7 @@ def _(spark, sf):
       FROM (SELECT label, p FROM scored)) GROUP BY np, nn""",
 )
 def _(spark, sf):
-    scored = _scored(spark, sf).withColumn("p", F.col("p"))
-    auc = evaluation.area_under_roc(scored)
+    auc = evaluation.area_under_roc(_scored(spark, sf))
     return spark.range(1).select(F.round(F.lit(auc), 9).alias("auc"))
 
 
@@ -762,9 +775,12 @@ def _(spark, sf):
     return evaluation.calibration(_scored(spark, sf)).withColumns({c: r9(c) for c in ("meanPrediction", "observedRate")})
 
 
-@query("calibration_json", f"""SELECT '{{"bin":'||bin||',"n":'||n||'}}' AS json FROM ({_CALIBRATION})""")
+@query("calibration_json", f"""SELECT bin, n, round("meanPrediction",9) AS "meanPrediction", round("observedRate",9) AS "observedRate" FROM ({_CALIBRATION})""")
 def _(spark, sf):
-    return tables.json_rows(evaluation.calibration(_scored(spark, sf)).select("bin", "n"))
+    """All four columns through JSON text and back: digits of doubles are written differently by engines."""
+    rows = tables.json_rows(evaluation.calibration(_scored(spark, sf)))
+    back = rows.select(F.from_json("json", "bin INT, n BIGINT, meanPrediction DOUBLE, observedRate DOUBLE").alias("j")).select("j.*")
+    return back.withColumns({c: r9(c) for c in ("meanPrediction", "observedRate")})
 
 
 @query(
@@ -869,18 +885,42 @@ def _(spark, sf):
     return results.withColumns({c: r9(c) for c in ("score", "text_relevance", "smoothed_ctr", "log_impressions")})
 
 
+@query(
+    "deployment_as_of",
+    """SELECT s.id, d.dm AS deployed_model, d.dp AS deployed_percent FROM searches s LEFT JOIN dep_at d ON d.request_id=s.id""",
+)
+def _(spark, sf):
+    return search.deployment_as_of(views.search_input(spark, sf), views.deployments(spark, sf)).select(
+        "id", "deployed_model", "deployed_percent"
+    )
+
+
+@query(
+    "deployment_as_of_long_history",
+    """SELECT s.id, d.dm AS deployed_model, d.dp AS deployed_percent FROM searches s LEFT JOIN dep_at d ON d.request_id=s.id""",
+)
+def _(spark, sf):
+    """The form for histories beyond the broadcast bound."""
+    return search.deployment_as_of(
+        views.search_input(spark, sf), views.deployments(spark, sf), broadcast_rows=0
+    ).select("id", "deployed_model", "deployed_percent")
+
+
 @query(
     "serving_rollup",
     "SELECT policy, fallback_reason, count(*) AS requests FROM resolved WHERE policy IS NOT NULL GROUP BY 1,2",
 )
 def _(spark, sf):
-    return search.serving_rollup(_served(spark, sf))
+    candidates = search.lexical_candidates(views.search_input(spark, sf).select("query"), views.ads(spark, sf))
+    return search.policy_rollup(_resolved(spark, sf), candidates, views.ad_features(spark, sf), views.models(spark, sf))
 
 
 @query(
     "score_rollup",
-    """SELECT policy, count(*) AS results, round(sum(score),6) AS score_total, round(max(score),9) AS score_max,
-    count(*) FILTER (WHERE cold) AS missing_features FROM ranked GROUP BY 1""",
+    """SELECT a.policy, coalesce(results,0) AS results, round(coalesce(score_total,0),6) AS score_total, round(score_max,9) AS score_max,
+    coalesce(missing_features,0) AS missing_features FROM (SELECT DISTINCT policy FROM resolved WHERE policy IS NOT NULL) a
+    LEFT JOIN (SELECT policy, count(*) AS results, sum(score) AS score_total, max(score) AS score_max FROM ranked GROUP BY 1) r ON r.policy=a.policy
+    LEFT JOIN (SELECT policy, count(*) FILTER (WHERE cold) AS missing_features FROM pairs GROUP BY 1) m ON m.policy=a.policy""",
 )
 def _(spark, sf):
     return search.score_rollup(_served(spark, sf)).withColumn("score_total", F.round("score_total", 6)).withColumn(
@@ -891,7 +931,7 @@ def _(spark, sf):
 @query(
     "feature_age",
     """SELECT count(*) AS requests, round(avg(snapshot_age_seconds),6) AS mean_age, max(snapshot_age_seconds) AS max_age
-    FROM resolved WHERE snapshot_age_seconds IS NOT NULL""",
+    FROM resolved WHERE policy IS NOT NULL AND snapshot_age_seconds IS NOT NULL""",
 )
 def _(spark, sf):
     return search.feature_age(_resolved(spark, sf)).withColumn("mean_age", F.round("mean_age", 6))
@@ -994,23 +1034,207 @@ def _(spark, sf):
 # ---- model fit ----------------------------------------------------------------------------------
 
 
-@query("train_model")
+def _ndcg_of(table: str, score: str) -> str:
+    return _ndcg_sql(score).replace("FROM scored", f"FROM {table}").replace("round(coalesce(avg(dcg/ideal),0),9)", "coalesce(avg(dcg/ideal),0)")
+
+
+_LOSS = "avg(-(label*ln({p})+(1-label)*ln(1-{p})))"
+_METRICS = {
+    **{f"{name}_rows": f"SELECT count(*) FROM split WHERE split='{name}'" for name in ("train", "validation", "test", "purged")},
+    "validation_log_loss_reg_0.01": "SELECT loss FROM trials WHERE reg=0.01::DOUBLE",
+    "validation_log_loss_reg_0.1": "SELECT loss FROM trials WHERE reg=0.1::DOUBLE",
+    "selected_regularization": "SELECT reg FROM chosen",
+    "validation_log_loss": "SELECT min(loss) FROM trials",
+    **{
+        f"baseline_{name}_log_loss": f"SELECT {_LOSS.format(p='prior')} FROM standard WHERE split='{name}'"
+        for name in ("validation", "test")
+    },
+    "test_log_loss": f"SELECT {_LOSS.format(p='p')} FROM ftest",
+    "test_brier": "SELECT avg(power(p-label,2)) FROM ftest",
+    "test_auc": """SELECT (sum(CASE WHEN label=1 THEN r END)-np*(np+1)/2.0::DOUBLE)/(np*nn) FROM (
+      SELECT label, rank() OVER (ORDER BY p)+(count(*) OVER (PARTITION BY p)-1)/2.0::DOUBLE AS r,
+        CAST(sum(label) OVER () AS DOUBLE) AS np, count(*) OVER ()-CAST(sum(label) OVER () AS DOUBLE) AS nn FROM ftest) GROUP BY np, nn""",
+    "model_ndcg_at_10": f"SELECT ndcg FROM ({_ndcg_of('ftest', 'p')})",
+    "baseline_ndcg_at_10": f"SELECT ndcg FROM ({_ndcg_of('ftest', 'baseline')})",
+    "scores_agree": "SELECT 1",
+}
+
+
+@query(
+    "train_model",
+    " UNION ALL ".join(f"SELECT '{name}' AS metric, round(CAST(({sql}) AS DOUBLE),3) AS value" for name, sql in _METRICS.items()),
+)
+def _(spark, sf):
+    """The report of a run; ``scores_agree`` says that portable and fitted scores differ by at most 1e-9."""
+    result = training_run.fit_and_evaluate(_examples(spark, sf), TRAIN_END, VALIDATION_END, AS_OF)
+    within = F.when(F.col("metric") == "max_parity_error", (F.col("value") <= 1e-9).cast("double")).otherwise(F.round("value", 3))
+    name = F.when(F.col("metric") == "max_parity_error", "scores_agree").otherwise(F.col("metric"))
+    return result.report().select(name.alias("metric"), within.alias("value"))
+
+
+_PARAMETERS = " UNION ALL ".join(
+    f"SELECT reg AS regularization, '{feature}' AS feature, round(m{k},4) AS mean, round(s{k},4) AS scale, round(w{k},3) AS weight "
+    "FROM fits CROSS JOIN tstats"
+    for k, feature in enumerate(("textRelevance", "smoothedCtr", "logImpressions"))
+)
+
+
+@query(
+    "fitted_parameters",
+    _PARAMETERS + " UNION ALL SELECT reg, 'intercept', NULL, NULL, round(b,3) FROM fits",
+)
+def _(spark, sf):
+    train = _split(spark, sf).where("split = 'train'").cache()
+    rows, scaling = [], training.fit_scaling(train)
+    for strength in (0.01, 0.1):
+        found = training.model_parameters(training.fit_click_model(train, strength, scaling))
+        rows += [
+            (strength, name, round(m, 4), round(s, 4), round(w, 3))
+            for name, m, s, w in zip(FEATURES, found["means"], found["scales"], found["coefficients"], strict=True)
+        ]
+        rows.append((strength, "intercept", None, None, round(found["intercept"], 3)))
+    train.unpersist()
+    return spark.createDataFrame(rows, "regularization DOUBLE, feature STRING, mean DOUBLE, scale DOUBLE, weight DOUBLE")
+
+
+# ---- written forms and flags --------------------------------------------------------------------
+
+
+def _written(spark, df: DataFrame, name: str, **settings) -> str:
+    path = scratch_path(spark, name)
+    tables.write_new(df, path, **settings)
+    return path
+
+
+@query("jsonl_round_trip", _EXAMPLES)
+def _(spark, sf):
+    made = _examples(spark, sf)
+    path = _written(spark, made.select(*TRAINING_FIELDS), "examples-jsonl", fmt="json", options=training.JSON_TIMES)
+    back = tables.read_training_jsonl(spark, path)
+    return _rounded_examples(back.select(*[F.col(c).cast(made.schema[c].dataType) for c in TRAINING_FIELDS]))
+
+
+@query(
+    "daily_features_by_day_folder",
+    """SELECT CAST("impressionTime" AS DATE) AS "eventDate", "adId", count(*) AS impressions,
+    CAST(sum(label) AS BIGINT) AS "clickedImpressions" FROM examples GROUP BY 1,2""",
+)
+def _(spark, sf):
+    path = _written(spark, attribution.daily_counts(_examples(spark, sf)), "daily-features", partition_by="eventDate")
+    return spark.read.parquet(path).withColumn("eventDate", F.col("eventDate").cast("date"))
+
+
+@query("catalog_ids", "SELECT id FROM ads")
+def _(spark, sf):
+    return tables.read_catalog_ids(spark, _written(spark, views.ads(spark, sf), "catalog", fmt="json"))
+
+
+@query(
+    "repeated_ads_in_snapshots",
+    """SELECT DISTINCT snapshot_id, 'repeated_ad' AS problem FROM afeat WHERE i>=3""",
+)
+def _(spark, sf):
+    features = views.ad_features(spark, sf)
+    known = views.table(spark, sf, "part").select(views.named("ad", F.col("p_partkey")).alias("id"))
+    twice = features.unionByName(features.where("impressions >= 3"))
+    return quality.snapshot_row_violations(twice, known).where("problem = 'repeated_ad'")
+
+
+@query(
+    "digest_flags",
+    """SELECT count(*) AS items, true AS same_rows_same_digest, count(*)>0 AS changed_row_changed_digest FROM lineitem""",
+)
+def _(spark, sf):
+    """Digests of a table dealt anew, and of one with changed values."""
+    rows = views.table(spark, sf, "lineitem")
+    first = provenance.rows_sha256(rows).select("items", F.col("sha256").alias("a"))
+    dealt = provenance.rows_sha256(rows.repartition(7, "l_partkey")).select(F.col("sha256").alias("b"))
+    changed = F.when(F.col("l_linenumber") == 1, F.col("l_tax") + 1).otherwise(F.col("l_tax"))
+    other = provenance.rows_sha256(rows.withColumn("l_tax", changed)).select(F.col("sha256").alias("c"))
+    # One row each.
+    return first.join(dealt).join(other).select(
+        "items", (F.col("a") == F.col("b")).alias("same_rows_same_digest"), (F.col("a") != F.col("c")).alias("changed_row_changed_digest")
+    )
+
+
+@query(
+    "request_log",
+    """SELECT id, user_id, query, created_at, policy, model_version, snapshot_id, experiment_id, arm, fallback_reason
+    FROM resolved WHERE policy IS NOT NULL""",
+)
+def _(spark, sf):
+    return search.request_log(_served(spark, sf))
+
+
+# ---- publication --------------------------------------------------------------------------------
+
+
+@query(
+    "snapshot_publication",
+    f"""SELECT r.id, CASE WHEN n%7=0 OR cutoff>TIMESTAMP '2024-01-25 00:00:00' THEN 'refused' WHEN n%3=0 THEN 'replay' WHEN n%3=1 THEN 'conflict'
+        WHEN bad.id IS NOT NULL THEN 'refused' ELSE 'created' END AS publication,
+      CASE WHEN n%7=0 THEN 'schema_version' WHEN cutoff>TIMESTAMP '2024-01-25 00:00:00' THEN 'future_cutoff'
+        WHEN n%3<2 THEN NULL WHEN bad.id IS NOT NULL THEN 'unknown_ad' END AS reason,
+      CASE WHEN n%7=0 OR cutoff>TIMESTAMP '2024-01-25 00:00:00' THEN NULL WHEN n%3=0 THEN TIMESTAMP '2024-01-20 00:00:00'
+        WHEN n%3=2 AND bad.id IS NULL THEN TIMESTAMP '2024-01-25 00:00:00' END AS available_at
+    FROM (SELECT id, cutoff, CAST(epoch_us(cutoff)//86400000000 AS BIGINT) AS n FROM snaps) r
+    LEFT JOIN (SELECT DISTINCT snapshot_id AS id FROM afeat f WHERE NOT EXISTS
+      (SELECT 1 FROM part WHERE p_partkey>5 AND {o._named('ad', 'p_partkey')}=f.ad_id)) bad ON bad.id=r.id""",
+)
+def _(spark, sf):
+    """Snapshots by day: some with another schema or from the future, some known with equal or other content."""
+    now = datetime(2024, 1, 25)
+    n = F.floor(F.unix_micros(F.col("cutoff").cast("timestamp")) / F.lit(86_400_000_000)).cast("long")
+    made = views.snapshots(spark, sf).withColumn("n", n)
+    requests = made.withColumn("schema_version", F.when(n % 7 == 0, "click-v0").otherwise(F.col("schema_version"))).select(
+        "id", "schema_version", "window_start", "cutoff", "source_id"
+    )
+    features = views.ad_features(spark, sf)
+    known = views.table(spark, sf, "part").where("p_partkey > 5").select(views.named("ad", F.col("p_partkey")).alias("id"))
+    nothing = spark.createDataFrame([], "id STRING, content_hash STRING, available_at TIMESTAMP_NTZ")
+    hashed = publication.publish_snapshots(requests, features, known, nothing, now)
+    earlier = hashed.join(made.select("id", "n"), "id").where("n % 3 < 2").select(
+        "id", F.when(F.col("n") % 3 == 0, F.col("content_hash")).otherwise("other").alias("content_hash"),
+        F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz").alias("available_at"),
+    )
+    published = publication.publish_snapshots(requests, features, known, earlier, now)
+    return published.select("id", "publication", "reason", F.col("available_at").cast("timestamp_ntz").alias("available_at"))
+
+
+@query(
+    "model_registration",
+    """SELECT version, CASE WHEN r=3 THEN 'refused' WHEN r=0 THEN 'replay' WHEN r=1 THEN 'conflict' ELSE 'created' END AS publication,
+      CASE WHEN r=3 THEN 'scales' END AS reason,
+      CASE WHEN r=3 OR r=1 THEN NULL WHEN r=0 THEN TIMESTAMP '2024-01-02 00:00:00' ELSE TIMESTAMP '2024-01-10 00:00:00' END AS registered_at
+    FROM models""",
+)
 def _(spark, sf):
-    return training_run.fit_and_evaluate(_examples(spark, sf), TRAIN_END, VALIDATION_END, AS_OF).report()
+    models, now = views.models(spark, sf), datetime(2024, 1, 10)
+    nothing = spark.createDataFrame([], "version STRING, content_hash STRING, registered_at TIMESTAMP_NTZ")
+    hashed = publication.register_models(models, nothing, now).where("version IN ('model-0', 'model-1')")
+    earlier = hashed.select(
+        "version", F.when(F.col("version") == "model-0", F.col("content_hash")).otherwise("other").alias("content_hash"),
+        F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz").alias("registered_at"),
+    )
+    done = publication.register_models(models, earlier, now)
+    return done.select("version", "publication", "reason", F.col("registered_at").cast("timestamp_ntz").alias("registered_at"))
 
 
 @query(
-    "synthetic_histories",
-    f"""SELECT {o._named('ad', 'p_partkey')} AS "adId", 40 AS examples,
-      round((cl+1.0::DOUBLE)/(i+20.0::DOUBLE),9) AS "smoothedCtr", round(ln(1+CAST(i AS DOUBLE)),9) AS "logImpressions" FROM (
-      SELECT p_partkey, 20+item*100 AS i,
-        CAST(round((20+item*100)*(0.02::DOUBLE+0.6::DOUBLE*item/CAST(n-1 AS DOUBLE))) AS BIGINT) AS cl FROM (
-        SELECT p_partkey, row_number() OVER (ORDER BY {o._named('ad', 'p_partkey')})-1 AS item, count(*) OVER () AS n FROM part))""",
+    "deployment_violations",
+    """SELECT c_custkey AS revision, concat_ws(',', CASE WHEN p<0 OR p>100 THEN 'percent' END,
+      CASE WHEN m IS NULL AND p<>0 THEN 'percent_without_model' END, CASE WHEN m='model 0' THEN 'model_name' END,
+      CASE WHEN m IS NOT NULL AND r IS NULL THEN 'unknown_model' END, CASE WHEN r*0.05::DOUBLE+0.5::DOUBLE>0.6::DOUBLE THEN 'gate' END) AS violations
+    FROM (SELECT c_custkey, CAST(c_nationkey*5-10 AS INTEGER) AS p, CASE WHEN c_nationkey<3 THEN NULL WHEN c_nationkey=3 THEN 'model 0'
+      ELSE 'model-'||CAST(c_custkey%6 AS VARCHAR) END AS m FROM customer) LEFT JOIN models ON version=m""",
 )
 def _(spark, sf):
-    catalog = views.ads(spark, sf).select("id")
-    rows = synthetic.synthetic_examples(catalog, AS_OF, requests=40)
-    return rows.groupBy("adId").agg(
-        F.count(F.lit(1)).cast("int").alias("examples"),
-        r9(F.max("smoothedCtr")).alias("smoothedCtr"), r9(F.max("logImpressions")).alias("logImpressions"),
+    nation = F.col("c_nationkey")
+    deployments = views.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("revision"),
+        F.when(nation < 3, F.lit(None)).when(nation == 3, "model 0")
+        .otherwise(F.concat(F.lit("model-"), (F.col("c_custkey") % 6).cast("string"))).alias("model_version"),
+        (nation * 5 - 10).cast("int").alias("rollout_percent"),
     )
+    checked = publication.deployment_violations(deployments, views.models(spark, sf))
+    return checked.select("revision", F.array_join("violations", ",").alias("violations"))

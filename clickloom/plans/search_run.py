@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from clickloom.functions import text
 from clickloom.operators import experiments, quality, search
 from clickloom.sources import tables
 
@@ -28,6 +30,8 @@ def run(requests: DataFrame, source: SearchTables, output: str) -> DataFrame:
     """
     checked = quality.with_violations(requests, quality.request_rules())
     valid, refused = quality.split_quarantine(checked)
+    # From here on, in retrieval as in the log, a query is what is left without outer white space.
+    valid = valid.withColumn("query", text.strip(F.col("query")))
     fresh = experiments.assign(valid, source.experiments, source.assignments)
     tables.write_new(fresh, f"{output}/assignments")
     resolved = search.resolve_policy(

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import click_model
 from clickloom.functions.columns import name_uuid
-from clickloom.operators.windows import top_per_group
 from clickloom.schemas import FEATURES, SCHEMA_VERSION
 
 # The fixed scorer used for served scores.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.columns import ratio
 from clickloom.schemas import ATTRIBUTION_HOURS, LATENESS_HOURS
+from clickloom.session import ROCKSDB
 
 
 def ingest(events: DataFrame, *, event_ts: str, key: str) -> DataFrame:
@@ -54,7 +55,8 @@ def daily_ctr(labels: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Processes what is there and stops; exactly once into Parquet."""
+    """Processes what is there and stops; exactly once into Parquet. State lives in RocksDB, not on the heap."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
