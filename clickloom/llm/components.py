@@ -23,6 +23,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes: changes whenever a round changes something."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node, component`` for each node of an edge: the smallest node that it reaches.
 
@@ -34,10 +39,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     clean = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND a <> b")
     now = keep(clean.distinct(), name)
-    mark = None
-    while True:
+    mark = _mark(now)
+    while mark[0]:
         after = keep(_small_star(_large_star(now).distinct()).distinct(), name)
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = _mark(after)
         discard(spark, now)
         now = after
         if seen == mark:

@@ -199,7 +199,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", per_buc
 
 def drop_exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text an earlier id holds; of rows that repeat id and text one stays."""
-    kept = exact_dedup(docs, id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", with_digest(docs, text))
-    rows = marked.join(kept, (marked[id].cast("long").eqNullSafe(kept["_id"])) & (marked["_sha"] == kept["_sha"]), "left_semi")
-    return rows.drop("_sha")
+    kept = exact_dedup(docs, id, text).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__text_sha256")).distinct()
+    marked = docs.withColumn("__text_sha256", with_digest(docs, text))
+    rows = marked.join(kept, (marked[id].cast("long").eqNullSafe(kept["__kept_id"])) & (marked["__text_sha256"] == kept["__text_sha256"]), "left_semi")
+    return rows.drop("__text_sha256")

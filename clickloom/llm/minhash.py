@@ -223,6 +223,15 @@ def linked_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return met.groupBy("cluster", "h", "v").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _links_in_clusters(links: DataFrame, ties: DataFrame, first: DataFrame, docs: DataFrame, words: int, percent: int, id: str, text: str) -> DataFrame:
+    """Step 5: ``ties`` join the components ``first`` of ``links`` to clusters."""
+    clusters = components(links.union(ties), "clusters").withColumnRenamed("component", "cluster")
+    apart = clusters.join(first, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    open_ = apart.groupBy("cluster").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q").select("cluster")
+    apart = keep(apart.join(open_, "cluster"), "open-clusters")
+    return linked_across(apart, shingle_sets(apart, docs, words, id, text), percent)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -257,12 +266,7 @@ def near_duplicates(
     component: Column = F.coalesce("component", "node").alias("component")
     placed = shared.join(first, "node", "left").select("key", "node", component)
     ties = keep(tied_components(placed, signatures, least), "ties")
-    clusters = components(links.union(ties), "clusters").withColumnRenamed("component", "cluster")
-    apart = clusters.join(first, "node", "left").select("cluster", "node", component)
-    open_ = apart.groupBy("cluster").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q").select("cluster")
-    apart = keep(apart.join(open_, "cluster"), "open-clusters")
-    more = linked_across(apart, shingle_sets(apart, docs, words, id, text), percent)
-    all_links = links.union(more)
+    all_links = links.union(_links_in_clusters(links, ties, first, docs, words, percent, id, text)) if not ties.isEmpty() else links
     # Rows of a set without an own signature follow their representative.
     follows = signed.join(members, "set_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(all_links.union(follows), "final")

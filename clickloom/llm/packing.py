@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import keep
 
 END_OF_TEXT = "<|endoftext|>"
+#: Rows of queue offsets that are sent to all tasks; beyond, tokens are joined to them by a shuffle.
+SENT_ROWS = 1_000_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "source string, ids binary"
@@ -198,5 +200,7 @@ def pack(
                         }
                     ).astype({"doc_id": "Int64", "source": object}).replace({"source": {np.nan: None}})
 
+    # A row per part and source goes to all tasks, up to a bound, so that ids stay where they were written.
+    queues = F.broadcast(queues) if by_part.count() <= SENT_ROWS else queues.hint("merge")
     placed = tokens.join(queues, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
     return placed.select("doc_id", "source", "n", "ids", "before", "queue_before").mapInPandas(cut, PIECES)
