@@ -24,6 +24,8 @@ JUDGED = "lang_pred string, score double, accepted boolean, cross_entropy double
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Scored n-grams that a worker remembers before it starts anew.
 MEMO = 2_000_000
+#: One of so many texts calibrates; languages of fewer than FEW texts are calibrated by leaving out as many parts.
+PARTS, FEW = 5, 25
 
 
 @lru_cache(maxsize=1)
@@ -118,24 +120,60 @@ def held_out(id, parts: int = 4, part: int = 2):
 
 
 def sample(docs: DataFrame, texts: int, chars: int, id: str, text: str, lang: str) -> DataFrame:
-    """The bounded training sample ``_lang, _text``: per language the ``texts`` texts of the smallest id
-    hash, whole, without those of more than ``chars`` characters."""
+    """The bounded training sample ``_lang, _text, _n, _k``: per language the ``texts`` distinct texts of the
+    smallest id hash, whole, without those of more than ``chars`` characters, with their rank from 1 on and
+    the number of ranks. Equal hashes go by a hash of the text."""
+    labelled = docs.where(docs[lang].isNotNull() & docs[text].isNotNull())
     at = F.xxhash64(docs[id].cast("string"), F.lit(17))
-    rows = docs.where(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[lang].alias("_lang"), at.alias("_at"))
-    # Ranks are cut in each task before the shuffle, and no text is moved for them.
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_at"))).where(F.col("_n") <= texts)
-    last = {row["_lang"]: row["_at"] for row in first.groupBy("_lang").agg(F.max("_at").alias("_at")).collect()}
-    chosen = F.lit(False)
-    for name, bound in last.items():
-        chosen = chosen | ((docs[lang] == name) & (at <= bound))
-    return docs.where(chosen & (F.length(docs[text]) <= chars)).select(docs[lang].alias("_lang"), docs[text].alias("_text"))
+    rows = labelled.select(docs[lang].alias("_lang"), F.xxhash64(docs[text]).alias("_digest"), at.alias("_at"))
+    # Copies collapse in each task before the shuffle, and no text is moved for the ranks.
+    distinct, each = rows.groupBy("_lang", "_digest").agg(F.min("_at").alias("_at")), Window.partitionBy("_lang")
+    first = distinct.withColumn("_n", F.row_number().over(each.orderBy("_at", "_digest"))).where(F.col("_n") <= texts)
+    first = first.withColumn("_k", F.count(F.lit(1)).over(each)).drop("_at")
+    whole = labelled.where(F.length(docs[text]) <= chars).select(docs[lang].alias("_lang"), docs[text].alias("_text")).withColumn("_digest", F.xxhash64("_text"))
+    return whole.join(F.broadcast(first), ["_lang", "_digest"]).dropDuplicates(["_lang", "_n"]).select("_lang", "_text", "_n", "_k")
+
+
+def _add_grams(found: dict[str, int], codes: np.ndarray, order: int, sign: int = 1) -> None:
+    s = "".join(map(chr, codes))
+    for n in range(1, order + 1):
+        for k in range(len(s) - n + 1):
+            found[s[k : k + n]] = found.get(s[k : k + n], 0) + sign
+
+
+def _model(counts: dict[str, int], order: int, alphabet: int) -> Model:
+    by_length: list[dict[tuple, int]] = [{} for _ in range(order)]
+    for gram, c in counts.items():
+        by_length[len(gram) - 1][tuple(map(ord, gram))] = c
+    # A language with a handful of symbols may lack the longest n-grams.
+    while len(by_length) > 1 and not by_length[-1]:
+        by_length.pop()
+    return _fit(by_length, alphabet)
+
+
+def _left_out(counts: dict[str, int], texts: list[np.ndarray], order: int, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and lengths of a language's few training texts, each under the counts of the other parts."""
+    if len(texts) == 1:  # a single text is left out by fifths
+        texts = [s for s in np.array_split(texts[0], PARTS) if len(s)]
+    bits, lengths = [np.zeros(0)], [np.zeros(0)]
+    for part in (texts[k::PARTS] for k in range(min(PARTS, len(texts)))):
+        rest = dict(counts)
+        for s in part:
+            _add_grams(rest, s, order, -1)
+        if rest := {gram: c for gram, c in rest.items() if c > 0}:
+            bits.append(Scorer({"": _model(rest, order, alphabet)}, order).bits(part)[:, 0])
+            lengths.append(np.array([len(s) for s in part], float))
+    return np.concatenate(bits), np.concatenate(lengths)
 
 
 def train(docs: DataFrame, order: int = 4, texts: int = 400, chars: int = 20_000, id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, Model]:
-    """A model per language, from at most ``texts`` texts of at most ``chars`` characters of each.
+    """A model per language, from at most ``texts`` distinct texts of at most ``chars`` characters of each.
 
-    n-grams are counted by Spark; what comes to the driver is bounded by the sample. A fifth of the
-    texts calibrates what cross-entropies are usual. Languages without a letter in their sample get none.
+    n-grams are counted by Spark; what comes to the driver is bounded by the sample. Every fifth text by
+    rank calibrates what cross-entropies are usual. A language of fewer than ``FEW`` texts learns from all
+    of them, and is calibrated by leaving out a fifth at a time, with a spread not below that of the other
+    languages. Without any text to calibrate on, mean and spread are those of the other languages, or else
+    those of the uniform distribution. Languages without a letter in their sample get no model.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,35 +181,42 @@ def train(docs: DataFrame, order: int = 4, texts: int = 400, chars: int = 20_000
             for language, rows in frame.groupby("_lang"):
                 found: dict[str, int] = {}
                 for content in rows["_text"]:
-                    s = "".join(map(chr, symbols(content)))
-                    for n in range(1, order + 1):
-                        for k in range(len(s) - n + 1):
-                            found[s[k : k + n]] = found.get(s[k : k + n], 0) + 1
+                    _add_grams(found, symbols(content), order)
                 yield pd.DataFrame({"_lang": language, "gram": list(found), "c": list(found.values())})
 
-    chosen = sample(docs, texts, chars, id, text, lang).withColumn("_check", F.pmod(F.xxhash64("_text"), F.lit(5)) == 0).cache()
+    chosen = sample(docs, texts, chars, id, text, lang).withColumn("_check", (F.col("_k") >= FEW) & (F.col("_n") % PARTS == 0)).cache()
     try:
         counted = chosen.where(~F.col("_check")).mapInPandas(count, "_lang string, gram string, c long").groupBy("_lang", "gram").agg(F.sum("c").alias("c")).toPandas()
-        checks = chosen.where("_check").toPandas()
+        checks = chosen.where(F.col("_check") | (F.col("_k") < FEW)).toPandas().sort_values("_n")
     finally:
         chosen.unpersist()
     models, alphabet = {}, 2 + int((counted["gram"].str.len() == 1).sum())
+    few, deviations, all_bits, all_letters = set(), [], 0.0, 0.0
     for language, rows in sorted(counted.groupby("_lang"), key=lambda x: x[0]):
-        by_length: list[dict[tuple, int]] = [{} for _ in range(order)]
-        for gram, c in zip(rows["gram"], rows["c"], strict=True):
-            by_length[len(gram) - 1][tuple(map(ord, gram))] = c
-        # A language with a handful of symbols may lack the longest n-grams.
-        while len(by_length) > 1 and not by_length[-1]:
-            by_length.pop()
-        models[language] = _fit(by_length, alphabet)
-    for language, model in models.items():
-        own = [symbols(t) for t in checks.loc[checks["_lang"] == language, "_text"]]
-        own = [s for s in own if len(s)]
-        if own:
-            scorer = Scorer({language: model}, order)
-            bits, n = scorer.bits(own)[:, 0], np.array([len(s) for s in own])
+        counts = dict(zip(rows["gram"], rows["c"], strict=True))
+        model = models[language] = _model(counts, order, alphabet)
+        mine = checks[checks["_lang"] == language]
+        own = [s for s in map(symbols, mine["_text"]) if len(s)]
+        if not own:
+            few.add(language)
+            continue
+        if mine["_check"].any():
+            bits, n = Scorer({language: model}, order).bits(own)[:, 0], np.array([len(s) for s in own])
+        else:
+            few.add(language)
+            bits, n = _left_out(counts, own, order, alphabet)
+        if len(n):
             model.mean = float(bits.sum() / n.sum())
-            model.spread = float(max(0.05, np.sqrt(np.mean((bits / n - model.mean) ** 2 * n))))
+            squares = (bits / n - model.mean) ** 2 * n
+            model.spread = float(max(0.05, np.sqrt(np.mean(squares))))
+            if language not in few:
+                deviations.append(squares)
+                all_bits, all_letters = all_bits + bits.sum(), all_letters + n.sum()
+    for language in few:
+        model = models[language]
+        if all_letters:
+            model.spread = max(model.spread if model.mean else 0.05, float(np.sqrt(np.mean(np.concatenate(deviations)))))
+        model.mean = model.mean or (float(all_bits / all_letters) if all_letters else float(np.log2(alphabet)))
     return models
 
 

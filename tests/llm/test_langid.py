@@ -75,3 +75,31 @@ def test_without_labels(docs):
 def test_clean_documents_are_kept(trained):
     documents, models = trained
     assert langid.keep_identified(documents, models).count() >= 0.995 * documents.count()
+
+
+#: Pronounceable words of a made-up language; its texts are draws from them.
+WORDS = [a + b + c for a in ("ka", "lo", "mi", "ru", "te") for b in ("na", "so", "vi", "pel") for c in ("", "r", "tan", "lis")]
+
+
+def drawn(seed, n=150):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n))
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 9])
+def test_few_labelled_texts_are_calibrated(docs, k):
+    """However the texts hash, a language of few distinct ones, or of copies of one, keeps its documents."""
+    for start in range(0, 60, 20):
+        texts = [drawn(start + i) for i in range(k)]
+        models = langid.train(docs(*((i, t, "xx") for i, t in enumerate(texts)), (90, texts[0], "xx"), (91, texts[0], "xx")))
+        assert set(models) == {"xx"} and models["xx"].mean > 0
+        new = docs(*((i, drawn(1000 + start + i)) for i in range(5)), *((9, t) for t in texts))
+        assert langid.keep_identified(new, models).count() == 5 + k
+
+
+def test_without_calibration_text_means_are_pooled(docs):
+    """A language whose every fifth text has no letter takes the mean of the others, never 0."""
+    plain = [(i, drawn(i), "xx") for i in range(40)]
+    chosen = [(r["doc_id"], r["_n"]) for r in langid.sample(docs(*((i, str(i), "yy") for i in range(40))), 400, 20_000, "doc_id", "text", "lang").selectExpr("int(_text) AS doc_id", "_n").collect()]
+    gaps = [(i, str(i) if n % 5 == 0 else drawn(200 + i), "yy") for i, n in chosen]
+    models = langid.train(docs(*plain, *gaps))
+    assert models["yy"].mean == models["xx"].mean > 0
