@@ -121,17 +121,16 @@ def held_out(id, parts: int = 4, part: int = 2):
 
 def sample(docs: DataFrame, texts: int, chars: int, id: str, text: str, lang: str) -> DataFrame:
     """The bounded training sample ``_lang, _text, _n, _k``: per language the ``texts`` distinct texts of the
-    smallest id hash, whole, without those of more than ``chars`` characters, with their rank from 1 on and
-    the number of ranks. Equal hashes go by a hash of the text."""
-    labelled = docs.where(docs[lang].isNotNull() & docs[text].isNotNull())
-    at = F.xxhash64(docs[id].cast("string"), F.lit(17))
-    rows = labelled.select(docs[lang].alias("_lang"), F.xxhash64(docs[text]).alias("_digest"), at.alias("_at"))
+    smallest id hash, with their rank from 1 on and the number of ranks. Of a text of more than ``chars``
+    characters the first ``chars`` are taken. Equal hashes go by a hash of the text."""
+    start = F.substring(docs[text], 1, chars)
+    labelled = docs.where(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[lang].alias("_lang"), start.alias("_text"), docs[id].cast("string").alias("_id"))
+    rows = labelled.withColumn("_digest", F.xxhash64("_text"))
     # Copies collapse in each task before the shuffle, and no text is moved for the ranks.
-    distinct, each = rows.groupBy("_lang", "_digest").agg(F.min("_at").alias("_at")), Window.partitionBy("_lang")
+    distinct, each = rows.groupBy("_lang", "_digest").agg(F.min(F.xxhash64("_id", F.lit(17))).alias("_at")), Window.partitionBy("_lang")
     first = distinct.withColumn("_n", F.row_number().over(each.orderBy("_at", "_digest"))).where(F.col("_n") <= texts)
     first = first.withColumn("_k", F.count(F.lit(1)).over(each)).drop("_at")
-    whole = labelled.where(F.length(docs[text]) <= chars).select(docs[lang].alias("_lang"), docs[text].alias("_text")).withColumn("_digest", F.xxhash64("_text"))
-    return whole.join(F.broadcast(first), ["_lang", "_digest"]).dropDuplicates(["_lang", "_n"]).select("_lang", "_text", "_n", "_k")
+    return rows.join(F.broadcast(first), ["_lang", "_digest"]).dropDuplicates(["_lang", "_n"]).select("_lang", "_text", "_n", "_k")
 
 
 def _add_grams(found: dict[str, int], codes: np.ndarray, order: int, sign: int = 1) -> None:
@@ -167,7 +166,7 @@ def _left_out(counts: dict[str, int], texts: list[np.ndarray], order: int, alpha
 
 
 def train(docs: DataFrame, order: int = 4, texts: int = 400, chars: int = 20_000, id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, Model]:
-    """A model per language, from at most ``texts`` distinct texts of at most ``chars`` characters of each.
+    """A model per language, from at most ``texts`` distinct texts of each, and of those at most the first ``chars`` characters.
 
     n-grams are counted by Spark; what comes to the driver is bounded by the sample. Every fifth text by
     rank calibrates what cross-entropies are usual. A language of fewer than ``FEW`` texts learns from all

@@ -103,3 +103,15 @@ def test_without_calibration_text_means_are_pooled(docs):
     gaps = [(i, str(i) if n % 5 == 0 else drawn(200 + i), "yy") for i, n in chosen]
     models = langid.train(docs(*plain, *gaps))
     assert models["yy"].mean == models["xx"].mean > 0
+
+
+def test_long_texts_are_learned_from(docs):
+    """Texts above the bound count in the sample, by their first characters, beside and without short ones."""
+    long = [(i, drawn(i, 300), "xx") for i in range(8)]
+    short = [(i, drawn(i, 20), "yy") for i in range(10, 14)] + [(i, drawn(i, 300), "yy") for i in range(14, 20)]
+    got = langid.sample(docs(*long, *short), 9, 500, "doc_id", "text", "lang").collect()
+    assert sorted((r["_lang"], r["_n"], r["_k"]) for r in got) == [("xx", n, 8) for n in range(1, 9)] + [("yy", n, 9) for n in range(1, 10)]
+    whole = {t for _, t, _ in long + short}
+    assert all(len(r["_text"]) <= 500 and any(t[:500] == r["_text"] for t in whole) for r in got)
+    models = langid.train(docs(*long), chars=500)
+    assert langid.identify(docs((1, drawn(99))), models).first()["lang_pred"] == "xx"
