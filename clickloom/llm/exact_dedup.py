@@ -198,8 +198,11 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", per_buc
 
 
 def drop_exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text an earlier id holds; of rows that repeat id and text one stays."""
-    kept = exact_dedup(docs, id, text).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__text_sha256")).distinct()
-    marked = docs.withColumn("__text_sha256", with_digest(docs, text))
-    rows = marked.join(kept, (marked[id].cast("long").eqNullSafe(kept["__kept_id"])) & (marked["__text_sha256"] == kept["__text_sha256"]), "left_semi")
-    return rows.drop("__text_sha256")
+    """One row of ``docs`` for each text: of the smallest id, or without one where no row has an id. Of rows
+    that repeat that id and text, or have the text and no id, any one stays."""
+    key = F.coalesce(docs[id].cast("long").cast("string"), F.lit(""))
+    kept = exact_dedup(docs, id, text).where("kept")
+    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key"), F.col("text_sha256").alias("__text_sha256"))
+    # Repeated rows collapse in each task before the shuffle, which serves the join as well.
+    single = docs.withColumns({"__key": key, "__text_sha256": with_digest(docs, text)}).dropDuplicates(["__key", "__text_sha256"])
+    return single.join(kept.distinct(), ["__key", "__text_sha256"], "left_semi").drop("__key", "__text_sha256")

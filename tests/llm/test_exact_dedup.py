@@ -63,3 +63,11 @@ def test_drop_exact_copies(docs):
     left = ed.drop_exact_copies(frame)
     assert left.columns == frame.columns
     assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == ["(1, 'a  b')", "(2, 'c')", "(None, 'd')"]
+
+
+def test_drop_exact_copies_keeps_one_row_a_text(docs):
+    """Repeated rows and copies without an id leave one row each; equal ids of other texts stay."""
+    frame = docs(*[(1, "a b")] * 5, (1, "a  b"), (2, "a b"), *[(None, "d")] * 4, (None, "e"), (7, "e"), (7, "e"), (7, "f"), (8, None), (8, ""), (None, None))
+    left = [(r["doc_id"], " ".join((r["text"] or "").split())) for r in ed.drop_exact_copies(frame).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(1, "a b"), (None, "d"), (7, "e"), (7, "f"), (8, "")]))
+    assert ed.drop_exact_copies(docs()).count() == 0
