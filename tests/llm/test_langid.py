@@ -115,3 +115,11 @@ def test_long_texts_are_learned_from(docs):
     assert all(len(r["_text"]) <= 500 and any(t[:500] == r["_text"] for t in whole) for r in got)
     models = langid.train(docs(*long), chars=500)
     assert langid.identify(docs((1, drawn(99))), models).first()["lang_pred"] == "xx"
+
+
+def test_sample_bound_is_strict(docs):
+    """Null and repeated ids tie; their texts are still no more than the bound."""
+    rows = [*((None, drawn(i), "xx") for i in range(30)), *((5, drawn(100 + i), "yy") for i in range(30))]
+    got = langid.sample(docs(*rows, *rows[:9]), 6, 20_000, "doc_id", "text", "lang").collect()
+    assert sorted((r["_lang"], r["_n"], r["_k"]) for r in got) == [(lang, n, 6) for lang in ("xx", "yy") for n in range(1, 7)]
+    assert len({r["_text"] for r in got}) == 12
