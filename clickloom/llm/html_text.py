@@ -3,7 +3,8 @@
 A page becomes a flat tree. Its paragraphs earn points for length and commas, less their share of link
 text, and pass them to their ancestors, halved at each step. The best container, with those of its
 siblings that earned enough, is the article; menus, notices, adverts, forms, comments and the like are
-left out of both scoring and text.
+left out of both scoring and text. Class and id names and forms may be those of wrappers as well: they
+leave out what they hold only if the best container, by points that count less below them, is elsewhere.
 """
 
 from __future__ import annotations
@@ -44,13 +45,18 @@ APART_NAMES = frozenset(
     "notification alert popup modal overlay pager pagination toolbar skip hidden copyright legal form search tags outbrain taboola".split()
 )
 CONTAINERS = frozenset(("article", "main"))
+#: Elements that often wrap whole pages, and first parts of names that tell what a page has: "no-sidebar".
+WRAPPERS = frozenset(("form", "fieldset"))
+ABOUT = frozenset("has have no not with without".split())
+#: What points count below each element that is apart by its name.
+NAMED = 0.2
 
 
 class Page:
     """Nodes in page order, with parents before children, and the text runs of each block."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.apart = ["#page"], [-1], [False]
+        self.tag, self.parent, self.apart, self.named = ["#page"], [-1], [False], [False]
         self.runs: list[list] = []  # block node, text pieces, link characters
         stack, at, run, in_link = [0], 0, None, 0
         opened: dict[str, int] = {}
@@ -131,7 +137,9 @@ class Page:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.apart.append(self.apart[stack[-1]] or tag in APART or (bool(attributes) and tag not in ("html", "body") and _apart(attributes)))
+            free = tag in ("html", "body") or not attributes
+            self.apart.append(self.apart[stack[-1]] or tag in APART and tag not in WRAPPERS or not free and _apart(attributes))
+            self.named.append(tag in WRAPPERS or not free and _named(attributes))
             if tag not in INLINE:
                 run = None
             if tag not in VOID:
@@ -143,21 +151,26 @@ class Page:
 def _apart(attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in APART_ROLES:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in APART_ROLES - WRAPPERS:
             return True
-        if name in ("class", "id") and not APART_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+    return False
+
+
+def _named(attributes: str) -> bool:
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "role" and value in WRAPPERS:
             return True
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = re.split(r"[^a-z]+", word)
+                if parts[0] not in ABOUT and not APART_NAMES.isdisjoint(parts):
+                    return True
     return False
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, one a line. White space inside a block is one space."""
-    if not html:
-        return ""
-    page = Page(html)
-    blocks = [(node, t, links) for node, pieces, links in page.runs if (t := " ".join("".join(pieces).split()))]
-    if not blocks:
-        return ""
+def _scores(page: Page, blocks: list, weight: list[float]) -> tuple[list[float], list[float], list[int]]:
+    """Score, link density and text size of each node, from the points of blocks times their weight."""
     n = len(page.tag)
     points, size, linked = [0.0] * n, [0] * n, [0] * n
     for node, t, links in blocks:
@@ -165,14 +178,59 @@ def main_text(html: str | None) -> str:
         linked[node] += links
         earned = (1 + sum(map(t.count, ",،、，")) + min(len(t) / 100, 3)) * (1 - min(1.0, links / len(t)))
         up = page.parent[node] if page.tag[node] in LEAVES else node
-        while up > 0 and earned > 1e-3:
+        earned, least = earned * weight[node], 1e-3 * weight[node]
+        while up > 0 and earned > least:
             points[up] += earned
             up, earned = page.parent[up], earned / 2
     for node in range(n - 1, 0, -1):
         size[page.parent[node]] += size[node]
         linked[page.parent[node]] += linked[node]
     density = [min(1.0, linked[k] / size[k]) if size[k] else 0.0 for k in range(n)]
-    score = [points[k] * (1 - density[k]) for k in range(n)]
+    return [points[k] * (1 - density[k]) for k in range(n)], density, size
+
+
+def _without_named(page: Page, blocks: list) -> list:
+    """The blocks outside of named elements, unless these wrap the best container; all if none is left."""
+    n = len(page.tag)
+    if not any(page.named):
+        return blocks
+    # A page's only article or main counts in full, whatever the elements around it are named.
+    held = [False] * n
+    outermost = []
+    for k in range(1, n):
+        held[k] = held[page.parent[k]] or page.tag[k] in CONTAINERS and not page.apart[k]
+        if held[k] and not held[page.parent[k]]:
+            outermost.append(k)
+    weight = [1.0] * n
+    for k in range(1, n):
+        weight[k] = weight[page.parent[k]] * (NAMED if page.named[k] else 1.0)
+        if outermost == [k]:
+            weight[k] = 1.0
+    score, _, _ = _scores(page, blocks, weight)
+    up = max(range(n), key=lambda k: (score[k], -k))
+    if len(outermost) == 1 and score[outermost[0]] >= score[up] / 2:
+        up = outermost[0]
+    wraps = set()
+    while up > 0:
+        wraps.add(up)
+        up = page.parent[up]
+    out = [False] * n
+    for k in range(1, n):
+        out[k] = out[page.parent[k]] or page.named[k] and k not in wraps
+    return [b for b in blocks if not out[b[0]]] or blocks
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks, one a line. White space inside a block is one space."""
+    if not html:
+        return ""
+    page = Page(html)
+    blocks = [(node, t, links) for node, pieces, links in page.runs if (t := " ".join("".join(pieces).split()))]
+    blocks = _without_named(page, blocks)
+    if not blocks:
+        return ""
+    n = len(page.tag)
+    score, density, size = _scores(page, blocks, [1.0] * n)
     best = max(range(n), key=lambda k: (score[k], -k))
     # A container that names itself the article holds all of it.
     up = best

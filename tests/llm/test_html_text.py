@@ -66,3 +66,29 @@ def test_rows_stay(spark):
     pages = spark.createDataFrame([(1, None, None, "x", "y"), (None, "u", "<p>a</p>", "x", "y"), (1, None, None, "x", "y")], schema)
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract(pages).collect()) == [(0, "a", 1), (1, "", 0), (1, "", 0)]
     assert extract(pages.limit(0)).count() == 0
+
+
+BODY = "<h1>A title</h1><p>First, of some, words.</p><p>Second, of others.</p>"
+ASIDES = "<div class='sidebar'><p>side, bar</p></div><div id='comments'><p>Great, post, really, love it, yes</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout has-sidebar'>{BODY}{ASIDES}</div>",
+        f"<div id='page' class='no-sidebar'><div class='content'>{BODY}</div>{ASIDES}</div>",
+        f"<main class='with-comments'>{BODY}{ASIDES}</main>",
+        f"<article class='post share-enabled tags-news'>{BODY}</article>{ASIDES}<p>Legal, line, all rights</p>",
+        f"<div class='layout tags-news'><article>{BODY}</article>{ASIDES}</div><p>Legal, line</p>",
+        f"<div class='overflow-hidden'><div>{BODY}</div>{ASIDES}</div><footer>foot</footer>",
+        f"<form id='aspnetForm' method='post'><div>{BODY}</div>{ASIDES}<form class='search'>Find</form></form>",
+        f"<div>{BODY}</div>{ASIDES}<form>Subscribe, now</form>",
+    ],
+)
+def test_named_wrappers_keep_the_article(page):
+    assert main_text(f"<html><body>{page}</body></html>").split("\n") == ["A title", "First, of some, words.", "Second, of others."]
+
+
+def test_names_do_not_empty_a_page():
+    assert main_text("<div class='promo'><p>only this</p></div>") == "only this"
+    assert main_text("<nav><a href='x'>A</a></nav><footer>foot</footer>") == ""
