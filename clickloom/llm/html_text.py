@@ -24,6 +24,10 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 # Elements by their part in a page.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title select".split())
+#: Elements in which "/>" closes; without an end tag they last until a tag of the page, as in browsers.
+FOREIGN = frozenset(("svg", "math"))
+FOREIGN_TAG = re.compile(r"<(/?)(svg|math)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I)
+UNQUOTED = re.compile(r"=\s*[^\s\"'=<>`]+\Z")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
@@ -44,6 +48,7 @@ APART_NAMES = frozenset(
     "recommended recommendations share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay pager pagination toolbar skip hidden copyright legal form search tags outbrain taboola".split()
 )
+BREAKS_OUT = re.compile(rf"</?(?:{'|'.join(sorted(CLOSES_P | LEAVES | INLINE - {'a'} | {'body', 'html', 'head'}, key=len, reverse=True))})\b", re.I)
 CONTAINERS = frozenset(("article", "main"))
 #: Elements that often wrap whole pages, and first parts of names that tell what a page has: "no-sidebar".
 WRAPPERS = frozenset(("form", "fieldset"))
@@ -98,7 +103,7 @@ class Page:
                 if tag in limits:
                     return
 
-        end = len(html)
+        end, ends = len(html), None
         while at < end:
             less = html.find("<", at)
             if less < 0:
@@ -122,6 +127,15 @@ class Page:
                 if tag == "p" or tag not in VOID:
                     close({tag}, frozenset() if tag not in INLINE else SCOPES)
                 continue
+            if tag in FOREIGN:
+                if not _closed(match[3] or match[6] or ""):
+                    ends = _foreign_ends(html) if ends is None else ends
+                    if less in ends:
+                        at = ends[less]
+                    else:
+                        out = BREAKS_OUT.search(html, at)
+                        at = out.start() if out else end
+                continue
             if tag in RAW:
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                 at = over.end() if over else end
@@ -148,6 +162,25 @@ class Page:
                 in_link += tag == "a"
 
 
+def _closed(attributes: str) -> bool:
+    """Whether a tag ends in "/>"; the "/" may also end a value without quotes."""
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
+def _foreign_ends(html: str) -> dict[int, int]:
+    """Where svg and math elements end, by where they start, if they have an end tag."""
+    opened: dict[str, list[int]] = {tag: [] for tag in FOREIGN}
+    ends = {}
+    for match in FOREIGN_TAG.finditer(html):
+        starts = opened[match[2].lower()]
+        if not match[1]:
+            if not _closed(match[3]):
+                starts.append(match.start())
+        elif starts:
+            ends[starts.pop()] = match.end()
+    return ends
+
+
 def _apart(attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()

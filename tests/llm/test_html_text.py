@@ -92,3 +92,18 @@ def test_named_wrappers_keep_the_article(page):
 def test_names_do_not_empty_a_page():
     assert main_text("<div class='promo'><p>only this</p></div>") == "only this"
     assert main_text("<nav><a href='x'>A</a></nav><footer>foot</footer>") == ""
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one <svg class='i'/> two</p><p>three</p>", "one two\nthree"),
+        ("<p>one<svg/></p><p>two</p><svg><text>no</text></svg><p>three</p>", "one\ntwo\nthree"),
+        ("<p>a <math/> b</p><p>c</p>", "a b\nc"),
+        ("<p>a</p><svg><svg/><svg><text>no</text></svg>no</svg><p>b</p>", "a\nb"),
+        ("<p>a</p><svg class='open'><path/><p>b</p><svg><text>no</text></svg><p>c</p>", "a\nb\nc"),
+        ("<p>a</p><svg><text>no</text><desc>x</desc></svg><p>b</p>", "a\nb"),
+    ],
+)
+def test_self_closed_and_open_icons(page, want):
+    assert main_text(page) == want
