@@ -19,6 +19,7 @@ from clickloom.llm import (
     ngram_lm,
     packing,
     spelling,
+    token_alignment,
     url_rules,
 )
 from clickloom.llm.common import ship
@@ -197,6 +198,12 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe_trie.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query()
+def op12_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(r"""
 WITH RECURSIVE crc AS (
   SELECT list(c ORDER BY i) AS t FROM (

@@ -1,0 +1,136 @@
+"""Token alignment against a plain version that follows the contract byte by byte."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from clickloom.llm import token_alignment
+from clickloom.llm.bpe_trie import byte_symbols
+
+from ..conftest import rows
+
+RANKS, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@pytest.fixture(scope="module")
+def plain():
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    byte = {s: k for k, s in enumerate(byte_symbols())}
+    bytes_a = {i: bytes(byte[c] for c in token) for token, i in vocabulary.items()}
+
+    def of_piece(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if piece.startswith("<0x") else piece.replace("▁", " ").encode()
+
+    def groups(text):
+        """Lists of A ids and B ids, cut where both sides end."""
+        if not text:
+            return []
+        raw = (" " + text).encode()
+        ids = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        tokens = [[(i, bytes_a[i]) for i in ids[0]], [(i, of_piece(i)) for i in ids[1]]]
+        if any(b"".join(t for _, t in side) != raw for side in tokens):
+            return []
+        ends = set.intersection(*(set(np.cumsum([len(t) for _, t in side]).tolist()) for side in tokens))
+        out = []
+        for k, side in enumerate(tokens):
+            at, group = 0, 0
+            for i, token in side:
+                if len(out) <= group:
+                    out.append(([], []))
+                out[group][k].append(i)
+                at += len(token)
+                group += at in ends
+        return out
+
+    def align(documents):
+        found = [(doc, groups(text)) for doc, text in documents]
+        count = Counter(pair for _, gs in found for pair in {(x, y) for p, q in gs for x in p for y in q})
+        most = Counter()
+        for (x, _), n in count.items():
+            most[x] = max(most[x], n)
+        out = []
+        for doc, gs in found:
+            links = [(x, y) for p, q in gs for x in p for y in q]
+            said = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in gs)
+            out.append((
+                doc, sum(len(p) for p, _ in gs), sum(len(q) for _, q in gs), len(gs), len(links),
+                sum(count[l] == most[l[0]] for l in links), sum(count[l] for l in links),
+                hashlib.sha256(said.encode()).hexdigest() if gs else "",
+            ))
+        return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+    return align
+
+
+ODD = (
+    (1, "the cat sat"), (1, "the cat sat"), (None, "the cat"), (2, None), (3, ""), (4, " "), (5, "\n\n  \t x"), (6, "<|endoftext|> <s> </s> <unk> <0x41>"),
+    (7, "a▁b"), (8, "日本語 ßß 📷📷‍ naïve"), (9, "=" * 700 + "x" * 333), (10, "1234567890" * 30), (11, "ﬁne ² Å é ﷺ"), (12, "\u0000\u0001\x7f"),
+)
+
+
+def test_odd_texts_and_repeated_rows(spark, docs, plain):
+    assert rows(token_alignment.align(docs(*ODD), RANKS, PIECES), *COLUMNS) == plain(ODD)
+
+
+@pytest.mark.parametrize("sent", (1 << 18, 0, 40))
+def test_documents_table_with_pairs_sent_or_shuffled(spark, documents, plain, monkeypatch, sent):
+    monkeypatch.setattr(token_alignment, "SENT_PAIRS", sent)
+    some = documents if sent else documents.limit(25)
+    want = plain([(r["doc_id"], r["text"]) for r in some.select("doc_id", "text").collect()])
+    assert rows(token_alignment.align(some, RANKS, PIECES), *COLUMNS) == want
+
+
+def test_long_documents_spread_over_rows_and_batches(spark, docs, plain):
+    from unittest import mock
+
+    given = [(i, " ".join(f"w{i * k % 97}é{k}" for k in range(300))) for i in range(6)]
+    with mock.patch.object(token_alignment, "ROW_PAIRS", 50), mock.patch.object(token_alignment, "BATCH_CHARS", 5000):
+        links = token_alignment._links(token_alignment.sides(RANKS, PIECES), [0], [1], [given[1][1]])
+        parts = [batch.num_rows for batch in links]
+    assert sum(parts) > 3
+    assert rows(token_alignment.align(docs(*given), RANKS, PIECES), *COLUMNS) == plain(given)
+
+
+def test_pairs_of_a_document_with_several_rows_count_once(spark):
+    links = spark.createDataFrame(
+        [(0, True, True, [1, 2]), (0, False, True, [2, 3]), (1, True, False, [2])], "row long, main boolean, several boolean, pairs array<int>"
+    )
+    assert rows(token_alignment.pair_counts(links)) == [(1, 1, False), (2, 2, True), (3, 1, False)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=14), st.lists(st.integers(1, 4), min_size=1, max_size=14))
+def test_groups_break_where_both_end(a, b):
+    short, gap = (a, b) if sum(a) < sum(b) else (b, a), abs(sum(a) - sum(b))
+    short[0].extend([1] * gap)
+    group_a, group_b = token_alignment.coalesce(np.array(a), np.array(b))
+    both = set(np.cumsum(a).tolist()) & set(np.cumsum(b).tolist())
+    for sizes, groups in ((a, group_a), (b, group_b)):
+        ends = np.cumsum(sizes).tolist()
+        assert groups.tolist() == [sum(e < end for e in both) for end in ends]
+
+
+def test_links_come_in_bounded_slices():
+    a, b = np.zeros(50, np.int64), np.zeros(40, np.int64)
+    slices = list(token_alignment.linked(np.arange(50), np.arange(40), a, b, most=100))
+    assert sum(len(x) for x, _ in slices) == 2000 and max(len(x) for x, _ in slices) <= 140
+
+
+def test_empty_table(spark, docs):
+    assert rows(token_alignment.align(docs().limit(0), RANKS, PIECES)) == []
