@@ -18,6 +18,7 @@ from clickloom.llm import (
     minhash,
     ngram_lm,
     packing,
+    personal_data,
     spelling,
     token_alignment,
     url_rules,
@@ -198,6 +199,11 @@ def op10_bpe_round_trip(spark, sf_dir):
     return bpe_trie.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query()
+def op11_personal_data(spark, sf_dir):
+    return personal_data.personal_spans(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op12_token_alignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
