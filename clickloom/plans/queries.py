@@ -14,6 +14,7 @@ from clickloom.operators import (
     asof,
     attribution,
     evaluation,
+    event_store,
     events,
     experiments,
     lookup,
@@ -27,7 +28,7 @@ from clickloom.operators import (
 from clickloom.plans import oracle as o
 from clickloom.plans import training_run, views
 from clickloom.schemas import FEATURES, MATURITY_HOURS, TRAINING_FIELDS
-from clickloom.session import scratch_path
+from clickloom.session import scratch_path, scratch_table
 from clickloom.sources import provenance, tables
 from clickloom.streaming import jobs
 
@@ -828,6 +829,73 @@ def _(spark, sf):
     return events.ingest_rollup(shown, _click_outcomes(spark, sf, shown))
 
 
+def _batches(spark, sf, days=10):
+    """Impression and click deliveries of every ``days`` days by receipt, written once, with the number of batches."""
+    period = F.floor(F.datediff("received_at", F.lit(DAY)) / days).cast("int")
+    number = F.greatest(F.coalesce(period, F.lit(0)), F.lit(0)).alias("_batch")
+    shown = scratch_table(views.impression_deliveries(spark, sf).select("*", number), "impressions-by-batch")
+    acted = scratch_table(views.click_deliveries(spark, sf).select("*", number), "clicks-by-batch")
+    last = shown.select("_batch").union(acted.select("_batch")).agg(F.max("_batch")).first()[0]
+    return shown, acted, range((last or 0) + 1)
+
+
+def _served_tables(spark, sf):
+    return scratch_table(views.search_requests(spark, sf), "requests"), scratch_table(views.search_results(spark, sf), "results")
+
+
+def _outcomes_by_batch(spark, sf, clicks):
+    """Each batch decided against what earlier ones stored; after the second the store is merged once."""
+    store = event_store.EventStore(spark, scratch_path(spark, "event-store"))
+    shown, acted, numbers = _batches(spark, sf)
+    requests, results = _served_tables(spark, sf)
+    found = []
+    for batch in numbers:
+        of_batch = F.col("_batch") == batch
+        out = event_store.classify_impression_batch(store, batch, shown.where(of_batch).drop("_batch"), requests, results)
+        if clicks:
+            out = event_store.classify_click_batch(store, batch, acted.where(of_batch).drop("_batch"))
+        found.append(scratch_table(out, "outcomes"))
+        if batch == 1:
+            store.compact(2)
+            store.drop_compacted(2)
+    result = found[0]
+    for out in found[1:]:
+        result = result.unionByName(out)
+    return result
+
+
+@query("impression_outcomes_by_batch", "SELECT * FROM iout")
+def _(spark, sf):
+    return _outcomes_by_batch(spark, sf, clicks=False)
+
+
+@query("click_outcomes_by_batch", "SELECT * FROM cout")
+def _(spark, sf):
+    return _outcomes_by_batch(spark, sf, clicks=True)
+
+
+@query(
+    "streaming_outcomes",
+    """SELECT 'impression' AS event_type, delivery_id, id, outcome, reason FROM iout
+    UNION ALL SELECT 'click', delivery_id, id, outcome, reason FROM cout""",
+)
+def _(spark, sf):
+    shown, acted, numbers = _batches(spark, sf, days=15)
+    folder, outcomes = scratch_path(spark, "deliveries"), scratch_path(spark, "stream-outcomes")
+    rows = shown.withColumn("event_type", F.lit("impression")).unionByName(
+        acted.withColumn("event_type", F.lit("click")), allowMissingColumns=True
+    )
+    # As an ingest leaves them: a file for each batch, the older ones first.
+    for batch in numbers:
+        rows.where(F.col("_batch") == batch).drop("_batch").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.classify_available(
+        stream, *_served_tables(spark, sf), store=scratch_path(spark, "event-store"), outcomes=outcomes,
+        checkpoint=scratch_path(spark, "stream-state"),
+    )
+    return spark.read.schema("event_type string, delivery_id long, id string, outcome string, reason string").parquet(f"{outcomes}/batch=*")
+
+
 # ---- search -------------------------------------------------------------------------------------
 
 

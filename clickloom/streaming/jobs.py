@@ -1,4 +1,4 @@
-"""Structured Streaming: deduplicated ingest, mature labels, daily click-through rate.
+"""Structured Streaming: classified and deduplicated ingest, mature labels, daily click-through rate.
 
 Watermarks bound all state: one hour of lateness plus, for labels, the 24-hour attribution window,
 which together are the 25-hour maturity rule.
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.columns import ratio
+from clickloom.operators.event_store import BUCKETS, EventStore, classify_click_batch, classify_impression_batch
 from clickloom.schemas import ATTRIBUTION_HOURS, LATENESS_HOURS
 from clickloom.session import ROCKSDB
 
@@ -63,3 +64,32 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+IMPRESSION = ("delivery_id", "id", "request_id", "ad_id", "occurred_at", "received_at")
+CLICK = ("delivery_id", "id", "impression_id", "occurred_at", "received_at")
+
+
+def classify_available(
+    deliveries: DataFrame, requests: DataFrame, results: DataFrame, *, store: str, outcomes: str, checkpoint: str, buckets: int = BUCKETS
+) -> None:
+    """Classifies what is there of a stream of deliveries against the event store below ``store``, and stops.
+
+    deliveries: event_type (impression or click), delivery_id (unique for each type) and the fields of both.
+    Each micro-batch writes event_type, delivery_id, id, outcome and reason to its own folder of ``outcomes``;
+    store and outcomes of a micro-batch that runs again after a failure are replaced by the same rows. Nothing
+    is dropped: a repeat is a replay or a conflict however late it comes, as in the batch form.
+    """
+
+    def process(batch: DataFrame, number: int) -> None:
+        kept = EventStore(batch.sparkSession, store, buckets)
+        shown = classify_impression_batch(kept, number, batch.where("event_type = 'impression'").select(*IMPRESSION), requests, results)
+        acted = classify_click_batch(kept, number, batch.where("event_type = 'click'").select(*CLICK))
+        both = None
+        for kind, found in (("impression", shown), ("click", acted)):
+            found = found.select(F.lit(kind).alias("event_type"), "delivery_id", "id", "outcome", "reason")
+            both = found if both is None else both.unionByName(found)
+        both.write.mode("overwrite").parquet(f"{outcomes}/batch={number}")
+
+    query = deliveries.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
