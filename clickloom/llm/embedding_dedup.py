@@ -134,9 +134,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
     Vectors are linked when their cosine is ``least`` or more; it must be positive. Equal vectors collapse
     to the smallest id first and count as linked with each other. ``component_id`` is the smallest id that
     links reach. Vectors that are null, empty, zero or hold a null or non-finite component link with
-    nothing, nor do vectors of different lengths. Rows with a null id count as others' links, and have a
-    null component and stay. Rows that repeat an id are vectors of their own that share a node. Other
-    columns are not read; an empty table gives no rows.
+    nothing, nor do vectors of different lengths. Rows with a null id count as others' links and carry links
+    on, but are never the smallest; they have a null component and stay. Rows that repeat an id are vectors of
+    their own, each with its own links and component. Other columns are not read; an empty table gives no rows.
     """
     if not 0 < least <= 1:
         raise ValueError("The least cosine must be positive and at most 1")
@@ -149,10 +149,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
             yield frame.astype({"vec_id": "Int64"})
 
     rows = vectors.select(vectors[id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("vector"))
-    checked = keep(rows.mapInPandas(check, "vec_id long, vector array<double>").withColumn("copy_of", F.xxhash64("vector")), "vectors")
-    # Equal vectors meet by value: a group is one row, however many copies it counts.
-    groups = checked.where("vector IS NOT NULL").groupBy("copy_of", "vector").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    groups = keep(groups.withColumn("node", F.coalesce("least_id", F.lit(-1) - F.abs(F.col("copy_of")))), "distinct-vectors")
+    checked = keep(rows.mapInPandas(check, "vec_id long, vector array<double>").select(
+        "*", F.xxhash64("vector").alias("copy_of"), F.monotonically_increasing_id().alias("row")
+    ), "vectors")
+    # Equal vectors meet by value: a group is one row, however many copies it counts, under its first row's number.
+    groups = keep(checked.where("vector IS NOT NULL").groupBy("copy_of", "vector").agg(
+        F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("row").alias("node")
+    ), "distinct-vectors")
     found = []
     for dims in [r[0] for r in groups.select(F.size("vector")).distinct().collect()]:
         own = groups.where(F.size("vector") == dims)
@@ -172,8 +175,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", vec
     links = keep(links, "vector-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector-components")
-    of_group = groups.join(counts, "node", "left").join(parts, "node", "left").select(
-        "copy_of", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
+    placed = groups.join(counts, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    # The smallest id of a part, null ids aside. Keyed by a value of its own, so that a part with a third of all
+    # groups is split by the join.
+    ids = placed.groupBy("part").agg(F.min("least_id").alias("first_id"), F.min("part").alias("_part")).drop("part")
+    of_group = placed.join(ids, F.col("part") == F.col("_part")).select(
+        "copy_of", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("first_id").alias("component")
     )
     out = checked.join(of_group, ["copy_of", "vector"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))

@@ -47,6 +47,35 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def brute_rows(rows, least=0.9):
+    """Of each row its links, the smallest id that links reach, and whether it stays; every row is a vector."""
+    units = [np.array(v, float) / np.linalg.norm(v) for _, v in rows]
+    near = [[j for j in range(len(rows)) if j != i and units[i] @ units[j] >= least] for i in range(len(rows))]
+    out = []
+    for i, (id, _) in enumerate(rows):
+        reached, open_ = {i}, [i]
+        while open_:
+            for j in near[open_.pop()]:
+                if j not in reached:
+                    reached.add(j)
+                    open_.append(j)
+        first = min((rows[j][0] for j in reached if rows[j][0] is not None), default=None)
+        out.append((id, len(near[i]), first if id is not None else None, id is None or id == first))
+    return sorted(out, key=str)
+
+
+def test_null_and_repeated_ids_near_others(spark):
+    given = [(None, [1, 0.05]), (5, [1, 0.0]), (7, [1, 0.1])]
+    others = [(1, [1, 0.0]), (1, [1, 0.1]), (2, [1, 0.2])]
+    apart = [(3, [0, 1.0]), (3, [1.0, 0]), (None, [-1, 0.0]), (None, [-1, 0.1]), (9, [0.2, 1.0]), (4, [0, -1.0])]
+    draw = np.random.default_rng(5)
+    many = [(None if k % 4 == 0 else k % 9, list(draw.normal(size=3))) for k in range(60)]
+    for rows in (given, others, apart, many):
+        rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+        got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in em.near_vectors(frame(spark, rows)).collect()]
+        assert sorted(got, key=str) == brute_rows(rows)
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1e-30, 0.0]), (11, [-1.0, 0.0])]
