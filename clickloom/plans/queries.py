@@ -829,7 +829,7 @@ def _(spark, sf):
     return events.ingest_rollup(shown, _click_outcomes(spark, sf, shown))
 
 
-def _batches(spark, sf, days=10):
+def _delivery_batches(spark, sf, days=10):
     """Impression and click deliveries of every ``days`` days by receipt, written once, with the number of batches."""
     period = F.floor(F.datediff("received_at", F.lit(DAY)) / days).cast("int")
     number = F.greatest(F.coalesce(period, F.lit(0)), F.lit(0)).alias("_batch")
@@ -846,7 +846,7 @@ def _served_tables(spark, sf):
 def _outcomes_by_batch(spark, sf, clicks):
     """Each batch decided against what earlier ones stored; after the second the store is merged once."""
     store = event_store.EventStore(spark, scratch_path(spark, "event-store"))
-    shown, acted, numbers = _batches(spark, sf)
+    shown, acted, numbers = _delivery_batches(spark, sf)
     requests, results = _served_tables(spark, sf)
     found = []
     for batch in numbers:
@@ -880,7 +880,7 @@ def _(spark, sf):
     UNION ALL SELECT 'click', delivery_id, id, outcome, reason FROM cout""",
 )
 def _(spark, sf):
-    shown, acted, numbers = _batches(spark, sf, days=15)
+    shown, acted, numbers = _delivery_batches(spark, sf, days=15)
     folder, outcomes = scratch_path(spark, "deliveries"), scratch_path(spark, "stream-outcomes")
     rows = shown.withColumn("event_type", F.lit("impression")).unionByName(
         acted.withColumn("event_type", F.lit("click")), allowMissingColumns=True
