@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import click_model, hashing
-from clickloom.functions.columns import matured
+from clickloom.functions.columns import between, matured
 from clickloom.operators import (
     asof,
     attribution,
@@ -17,6 +17,7 @@ from clickloom.operators import (
     event_store,
     events,
     experiments,
+    incremental,
     lookup,
     paging,
     publication,
@@ -29,7 +30,7 @@ from clickloom.plans import oracle as o
 from clickloom.plans import training_run, views
 from clickloom.schemas import FEATURES, MATURITY_HOURS, TRAINING_FIELDS
 from clickloom.session import scratch_path, scratch_table
-from clickloom.sources import provenance, tables
+from clickloom.sources import provenance, sorted_files, tables
 from clickloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +116,24 @@ def _(spark, sf):
     )
 
 
+@query(
+    "daily_counts_by_merge",
+    """SELECT CAST(occurred_at AS DATE) AS day, ad_id, count(*) AS impressions, CAST(sum(label) AS BIGINT) AS clicked_impressions
+    FROM labelled GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Counts as of the end of each period, from those of the period before and its delta; kept once a period."""
+    shown, acted = views.served_impressions(spark, sf), views.served_clicks(spark, sf)
+    in_range = scratch_table(shown.where(between("occurred_at", START, AS_OF)), "impressions")
+    acted = scratch_table(acted, "clicks")
+    counts = spark.createDataFrame([], "day date, ad_id string, impressions long, clicked_impressions long")
+    since = START - timedelta(days=1)
+    for until in (datetime(2024, 1, 9), datetime(2024, 1, 17), AS_OF):
+        delta = incremental.daily_delta(in_range, acted, since, until, lateness_hours=None)
+        counts, since = scratch_table(incremental.add_counts(counts, delta), "daily-counts"), until
+    return counts
+
+
 def _batches(spark, sf):
     return views.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("ad_id"),
@@ -486,6 +505,19 @@ def _(spark, sf):
     return paging.with_page_number(_examples(spark, sf).select("impressionId"), "impressionId", 100)
 
 
+@query(
+    "page_of_sorted_files",
+    """SELECT "impressionId", label, CASE WHEN more THEN last END AS next_after FROM (
+      SELECT *, count(*) OVER ()>100 AS more, max(CASE WHEN n<=100 THEN "impressionId" END) OVER () AS last FROM (
+        SELECT "impressionId", label, row_number() OVER (ORDER BY "impressionId") AS n FROM examples WHERE "impressionId">'8')
+      WHERE n<=101) WHERE n<=100""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "sorted-export")
+    sorted_files.write_sorted(_examples(spark, sf).select("impressionId", "label"), "impressionId", path, file_rows=5_000)
+    return sorted_files.page(spark, path, "impressionId", "8", 100)
+
+
 def _split(spark, sf):
     return training.with_split(_examples(spark, sf), TRAIN_END, VALIDATION_END, AS_OF)
 
