@@ -176,10 +176,12 @@ def _ties(frame: pd.DataFrame, alike) -> pd.DataFrame:
     """One tie per row at most, between what ``alike(visitor, hosts)`` finds across components."""
     node, component, home = (frame[c].to_numpy() for c in ("node", "component", "home"))
     hosts, label = np.flatnonzero(home), np.arange(len(frame))
-    for k in np.flatnonzero(~home):
+    visitors, found = np.flatnonzero(~home), []
+    for k in visitors:
         near = hosts[alike(k, hosts)]
-        near = near[component[near] != component[k]]
-        join_labels(label, np.full(len(near), k), near)
+        found.append(near[component[near] != component[k]])
+    # Once for the meeting: its pairs are no more than its two blocks allow.
+    join_labels(label, np.repeat(visitors, [len(near) for near in found]), np.concatenate([hosts[:0], *found]))
     tied = np.flatnonzero(label != np.arange(len(frame)))
     a, b = node[tied], node[label[tied]]
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).query("a != b").drop_duplicates()
@@ -190,7 +192,10 @@ def tied_components(members: DataFrame, signatures: DataFrame, least: int) -> Da
 
     def compare(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         signature = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
-        return _ties(frame, lambda k, hosts: (signature[hosts] == signature[k]).sum(axis=1) >= least)
+        # Places as rows: equal bytes of all hosts add up place by place, in the smallest type that holds them.
+        of_hosts = np.ascontiguousarray(signature[frame["home"].to_numpy()].T)
+        kind = np.min_scalar_type(len(of_hosts))
+        return _ties(frame, lambda k, hosts: (of_hosts == signature[k][:, None]).view(np.uint8).sum(axis=0, dtype=kind) >= least)
 
     met = _meetings(members, "key").join(signatures, "node")
     return met.groupBy("key", "h", "v").applyInPandas(compare, "a long, b long").distinct()
@@ -278,4 +283,5 @@ def near_duplicates(
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest id."""
     dropped = near_duplicates(docs, id=id, text=text, **settings).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id].cast("long") == F.col("_dropped"), "left_anti")
+    # By the column, not its name: ``docs`` may have one of that name too.
+    return docs.join(dropped, docs[id].cast("long") == dropped["_dropped"], "left_anti")

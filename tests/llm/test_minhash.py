@@ -136,3 +136,9 @@ def test_components_of_chains(spark, length):
 def test_components_without_edges(spark):
     edges = spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")
     assert components(edges).count() == 0
+
+
+def test_a_column_of_any_name_passes_the_stage(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, text, "x"), (2, text, "y"), (3, "another text", "z")], "doc_id long, text string, _dropped string")
+    assert sorted(tuple(r) for r in minhash.drop_near_copies(docs).collect()) == [(1, text, "x"), (3, "another text", "z")]
