@@ -5,6 +5,8 @@ text, and pass them to their ancestors, halved at each step. The best container,
 siblings that earned enough, is the article; menus, notices, adverts, forms, comments and the like are
 left out of both scoring and text. Class and id names and forms may be those of wrappers as well: they
 leave out what they hold only if the best container, by points that count less below them, is elsewhere.
+A name must say wholly what it names: "related-posts" does, "legal-history" is a topic. Paragraphs and
+headings are left out by few names only, since their ids are anchors and their classes looks.
 """
 
 from __future__ import annotations
@@ -48,8 +50,23 @@ APART_NAMES = frozenset(
     "recommended recommendations share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay pager pagination toolbar skip hidden copyright legal form search tags outbrain taboola".split()
 )
+#: Of these one is enough in a longer name; others may stand beside plain words only.
+TELLING_NAMES = frozenset(
+    "advert adverts advertisement advertising sponsored nav navbar breadcrumb breadcrumbs sidebar footer masthead topbar comments commentlist "
+    "disqus newsletter gdpr pager pagination outbrain taboola".split()
+)
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons card cloud column container content dark desktop div entry fb fixed form google group header "
+    "icon icons inner input item items js left light link links list main middle mobile more notice outer page panel policy post posts region "
+    "right row section site slot small sticky text title top twitter ui unit wide wp wrap wrapper".split()
+)
+PROSE = frozenset("p pre blockquote dt dd h1 h2 h3 h4 h5 h6 caption figcaption address summary".split())
+PROSE_NAMES = TELLING_NAMES | {"ad", "ads", "sponsor", "copyright", "hidden"}
+CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 BREAKS_OUT = re.compile(rf"</?(?:{'|'.join(sorted(CLOSES_P | LEAVES | INLINE - {'a'} | {'body', 'html', 'head'}, key=len, reverse=True))})\b", re.I)
 CONTAINERS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SENTENCE_ENDS = (".", "!", "?", "…", "。", "！", "？", ":", ";", ".”", ".\"", ".»", ".)")
 #: Elements that often wrap whole pages, and first parts of names that tell what a page has: "no-sidebar".
 WRAPPERS = frozenset(("form", "fieldset"))
 ABOUT = frozenset("has have no not with without".split())
@@ -61,7 +78,7 @@ class Page:
     """Nodes in page order, with parents before children, and the text runs of each block."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.apart, self.named = ["#page"], [-1], [False], [False]
+        self.tag, self.parent, self.apart, self.named, self.look = ["#page"], [-1], [False], [False], [""]
         self.runs: list[list] = []  # block node, text pieces, link characters
         stack, at, run, in_link = [0], 0, None, 0
         opened: dict[str, int] = {}
@@ -153,7 +170,9 @@ class Page:
             self.parent.append(stack[-1])
             free = tag in ("html", "body") or not attributes
             self.apart.append(self.apart[stack[-1]] or tag in APART and tag not in WRAPPERS or not free and _apart(attributes))
-            self.named.append(tag in WRAPPERS or not free and _named(attributes))
+            self.named.append(tag in WRAPPERS or not free and _named(tag, attributes))
+            look = CLASS.search(attributes) if attributes else None
+            self.look.append(" ".join(sorted("".join(filter(None, look.groups())).split())) if look else "")
             if tag not in INLINE:
                 run = None
             if tag not in VOID:
@@ -189,15 +208,19 @@ def _apart(attributes: str) -> bool:
     return False
 
 
-def _named(attributes: str) -> bool:
+def _named(tag: str, attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "role" and value in WRAPPERS:
             return True
-        if name in ("class", "id"):
+        if name == "class" or name == "id" and tag not in PROSE:
             for word in value.split():
-                parts = re.split(r"[^a-z]+", word)
-                if parts[0] not in ABOUT and not APART_NAMES.isdisjoint(parts):
+                parts = [part for part in re.split(r"[^a-z]+", word) if part]
+                if not parts or parts[0] in ABOUT or APART_NAMES.isdisjoint(parts):
+                    continue
+                if tag in PROSE and PROSE_NAMES.isdisjoint(parts):
+                    continue
+                if not TELLING_NAMES.isdisjoint(parts) or APART_NAMES.union(PLAIN_WORDS).issuperset(parts):
                     return True
     return False
 
@@ -272,16 +295,34 @@ def main_text(html: str | None) -> str:
             best = up
         up = page.parent[up]
     above = page.parent[best]
-    chosen = {best} | {k for k in range(1, n) if page.parent[k] == above and above >= 0 and score[k] >= max(0.2 * score[best], 2) and density[k] < 0.3}
+    beside = [k for k in range(1, n) if page.parent[k] == above and above >= 0]
+    chosen = {best} | {k for k in beside if score[k] >= max(0.2 * score[best], 2) and density[k] < 0.3}
     if best == 0:
         chosen = {0}
+    holds_itself = page.tag[best] in CONTAINERS
+    if not holds_itself and above >= 0:
+        # Siblings that look like the container, or lie between chosen ones, are its parts however short.
+        parts = [k for k in beside if score[k] > 0 and density[k] < 0.3]
+        chosen |= {k for k in parts if (page.tag[k], page.look[k]) == (page.tag[best], page.look[best])}
+        first, last = min(chosen), max(chosen)
+        chosen |= {k for k in parts if first < k < last}
     if above >= 0:  # paragraphs beside the container
-        chosen |= {node for node, t, links in blocks if page.parent[node] == above and page.tag[node] in LEAVES and len(t) > 80 and links < 0.25 * len(t)}
-    inside, has_menus = [False] * n, page.tag.count("a") > 2
+        chosen |= {
+            node for node, t, links in blocks
+            if page.parent[node] == above and page.tag[node] in LEAVES
+            and (len(t) > 80 and links < 0.25 * len(t) or not holds_itself and not links and t.endswith(SENTENCE_ENDS))
+        }
+    within = [False] * n
+    for k in range(n):
+        within[k] = k in chosen or k > 0 and within[page.parent[k]]
+    # A list of links ahead of the first prose is a menu without a name; below prose it lists sources.
+    prose = min((node for node, t, links in blocks if within[node] and page.tag[node] not in HEADINGS and 4 * links < len(t) and len(t) > 25), default=n)
+    inside, has_menus, in_article = [False] * n, page.tag.count("a") > 2, [False] * n
     for k in range(n):
+        in_article[k] = page.tag[k] == "article" or k > 0 and in_article[page.parent[k]]
         inside[k] = k in chosen or k > 0 and inside[page.parent[k]]
-        # A long list of links inside the article is a menu without a name.
-        if k not in chosen and page.tag[k] in ("ul", "ol", "div", "table") and density[k] > 0.8 and size[k] > 0 and has_menus:
+        menu = k < prose and page.tag[k] in ("ul", "ol", "div", "table") and density[k] > 0.8 and size[k] > 0 and has_menus
+        if k not in chosen and menu and not in_article[k]:
             inside[k] = False
     return "\n".join(t for node, t, _ in blocks if inside[node])
 

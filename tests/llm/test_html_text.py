@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from clickloom.llm import html_text
 from clickloom.llm.html_text import extract, main_text
 
 from ..conftest import SF
@@ -107,3 +108,59 @@ def test_names_do_not_empty_a_page():
 )
 def test_self_closed_and_open_icons(page, want):
     assert main_text(page) == want
+
+
+LONG = "A paragraph of the article, which goes on for a while, with commas, until it ends. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # a list of sources below the prose, in an article and in a plain container
+        (f"<article><p>{LONG}</p><h2>Sources</h2><ul><li><a href='1'>One</a><li><a href='2'>Two</a><li><a href='3'>Three</a></ul></article>",
+         [LONG.strip(), "Sources", "One", "Two", "Three"]),
+        (f"<div><ul><li><a href='1'>One</a><li><a href='2'>Two</a><li><a href='3'>Three</a></ul><p>{LONG}</p>"
+         "<ul><li><a href='1'>Four</a></ul></div>", [LONG.strip(), "Four"]),
+        # names of topics, looks and anchors
+        (f"<article><p>{LONG}</p><section class='legal-history'><p>Laws, old.</p></section><p class='notice'>Note well.</p>"
+         "<h2 id='form'>Form of government</h2><p class='ad'>Buy, now</p><div class='related-posts'><p>Other, texts</p></div></article>",
+         [LONG.strip(), "Laws, old.", "Note well.", "Form of government"]),
+        (f"<article><p>{LONG}</p><p id='comments'>On comments.</p><div class='theme-x-sidebar'>side</div><div class='cookie-recipes'>Bake.</div></article>",
+         [LONG.strip(), "On comments.", "Bake."]),
+        # short parts beside the best container
+        (f"<body><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div></body>", [LONG.strip(), "Short.", LONG.strip()]),
+        (f"<body><div class='part'><p>{LONG}</p></div><div class='part x'><p>Go</p></div><div class='part'><p>Short</p></div></body>",
+         [LONG.strip(), "Go", "Short"]),
+        (f"<body><p>Short one.</p><div><p>{LONG}</p></div><p><a href='/'>Home.</a></p></body>", ["Short one.", LONG.strip()]),
+    ],
+)
+def test_articles_stay_whole(page, want):
+    nav = "<nav><a href='/'>A</a><a href='/b'>B</a><a href='/c'>C</a></nav>"
+    assert main_text(f"<html>{nav}{page}<footer>foot</footer></html>").split("\n") == want
+
+
+def plain_best(page):
+    """Tree scoring without the shortcuts: points of each block, from each block up, for each node."""
+    blocks = [(node, t, links) for node, pieces, links in page.runs if (t := " ".join("".join(pieces).split()))]
+    up = lambda k: [k, *up(page.parent[k])] if k > 0 else []
+    found = []
+    for k in range(len(page.tag)):
+        points = size = linked = 0.0
+        for node, t, links in blocks:
+            way = up(page.parent[node] if page.tag[node] in html_text.LEAVES else node)
+            if k in way:
+                earned = (1 + sum(t.count(c) for c in ",،、，") + min(len(t) / 100, 3)) * (1 - min(1.0, links / len(t)))
+                points += earned / 2 ** way.index(k) if earned / 2 ** way.index(k) > 1e-3 else 0
+            if k == 0 or k in up(node):
+                size, linked = size + len(t), linked + links
+        found.append(points * (1 - min(1.0, linked / size)) if size else 0.0)
+    return found, blocks
+
+
+def test_scores_against_plain_tree_scoring(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()] + [SITE]
+    for text in pages:
+        page = html_text.Page(text)
+        want, blocks = plain_best(page)
+        got, _, _ = html_text._scores(page, blocks, [1.0] * len(page.tag))
+        assert got == pytest.approx(want)
