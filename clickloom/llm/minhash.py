@@ -33,6 +33,8 @@ LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SLACK = 5.0
 #: Members in a block of steps 4 and 5.
 BLOCK = 1024
+#: Pairs whose signatures are compared at once.
+PAIRS = 100_000
 #: Ids that are sent to all tasks to pick texts; beyond, texts are joined to them by a shuffle.
 SENT_IDS = 4_000_000
 #: Distinct words that a worker remembers the hash of before it starts anew.
@@ -155,11 +157,17 @@ def _meetings(members: DataFrame, group: str) -> DataFrame:
     visitor once to each home block, so a group of n with s visitors makes about ``(n * s) / BLOCK`` rows
     beyond its own n, and no meeting is larger than two blocks.
     """
-    by_component = members.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"))
-    most = by_component.groupBy(group).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("largest")
+    wide = [F.xxhash64("node", F.lit(k)).cast("decimal(38,0)") for k in (1, 2)]
+    by_component = members.groupBy(group, "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(wide[0]).alias("_x"), F.sum(wide[1]).alias("_y")
     )
-    groups = most.where("parts > 1").select(
+    most = by_component.groupBy(group).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("largest"),
+        F.sum("_x").alias("_x"), F.sum("_y").alias("_y"),
+    )
+    # Groups of the same members, as copies make them in all bands they share, meet once.
+    once = most.where("parts > 1").groupBy("n", "_x", "_y").agg(F.min(F.struct(group, "largest")).alias("_one"))
+    groups = once.select("n", "_one.*").select(
         group, F.col("largest.component").alias("largest"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("visits"),
     )
@@ -182,23 +190,68 @@ def _ties(frame: pd.DataFrame, alike) -> pd.DataFrame:
         found.append(near[component[near] != component[k]])
     # Once for the meeting: its pairs are no more than its two blocks allow.
     join_labels(label, np.repeat(visitors, [len(near) for near in found]), np.concatenate([hosts[:0], *found]))
-    tied = np.flatnonzero(label != np.arange(len(frame)))
+    return _label_ties(node, label)
+
+
+def _label_ties(node: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """A tie ``a, b`` from each row to the first of its group, where they are two nodes."""
+    tied = np.flatnonzero(node != node[label])
     a, b = node[tied], node[label[tied]]
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).query("a != b").drop_duplicates()
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows cut where a group of ``names`` ends, with the number of each row's group."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        rows = pd.concat([*held, frame], ignore_index=True)
+        begins = np.concatenate([[0], np.any([rows[c].to_numpy()[1:] != rows[c].to_numpy()[:-1] for c in names], axis=0)])
+        cut = int(np.flatnonzero(begins)[-1]) if begins.any() else 0
+        if cut:
+            yield rows.iloc[:cut], np.cumsum(begins[:cut])
+        held = [rows.iloc[cut:]]
+    for rows in held:
+        yield rows, np.zeros(len(rows), np.int64)
+
+
+def _alike_pairs(group: np.ndarray, home: np.ndarray, component: np.ndarray, signature: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Visitors and hosts of one group and different components whose signatures agree in ``least`` places."""
+    rank = np.lexsort([~home, group])  # hosts first in each group
+    first = np.searchsorted(group[rank], group)
+    hosts = np.bincount(group, weights=home, minlength=group.max() + 1).astype(np.int64)[group]
+    visitors = np.flatnonzero(~home)
+    ends, found = np.cumsum(hosts[visitors]), [(visitors[:0], visitors[:0])]
+    for some in np.split(visitors, np.flatnonzero(np.diff(ends // PAIRS)) + 1):
+        n = hosts[some]
+        i = np.repeat(some, n)
+        j = rank[np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        apart = component[i] != component[j]
+        i, j = i[apart], j[apart]
+        near = (signature[i] == signature[j]).sum(axis=1) >= least
+        found.append((i[near], j[near]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def tied_components(members: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Ties ``a, b`` across components among ``members`` (``key, node, component``) by signature; step 4."""
+    """Ties ``a, b`` across components among ``members`` (``key, node, component``) by signature; step 4.
 
-    def compare(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        signature = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
-        # Places as rows: equal bytes of all hosts add up place by place, in the smallest type that holds them.
-        of_hosts = np.ascontiguousarray(signature[frame["home"].to_numpy()].T)
-        kind = np.min_scalar_type(len(of_hosts))
-        return _ties(frame, lambda k, hosts: (of_hosts == signature[k][:, None]).view(np.uint8).sum(axis=0, dtype=kind) >= least)
+    Most meetings are of a few rows, so a task takes as many at once as a batch holds. Their number of
+    partitions is the session's: adaptive execution would deal by bytes what costs by pairs.
+    """
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, group in _whole_groups(frames, ["key", "h", "v"]):
+            signature = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+            node, label = rows["node"].to_numpy(), np.arange(len(rows))
+            join_labels(label, *_alike_pairs(group, rows["home"].to_numpy(bool), rows["component"].to_numpy(), signature, least))
+            yield _label_ties(node, label)
 
     met = _meetings(members, "key").join(signatures, "node")
-    return met.groupBy("key", "h", "v").applyInPandas(compare, "a long, b long").distinct()
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(parts, "key", "h", "v").sortWithinPartitions("key", "h", "v")
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
 def linked_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
