@@ -6,6 +6,8 @@ runs once per such context; a popular query costs what a rare one costs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from clickloom.operators.quality import with_violations
 from clickloom.operators.windows import top_per_group
 from clickloom.schemas import MAX_RESULTS, RETRIEVAL_DEPTH, SCHEMA_VERSION, SNAPSHOT_MAX_AGE_SECONDS
 
+#: Size of quantile sketches, and a bound on their rank error, over three times what is usual at that size.
+SKETCH_SIZE = 800
+SKETCH_ERROR = 0.02
 #: Bounds of a history that is broadcast as a step function: rows, bytes, publications on one day.
 STEP_ROWS, STEP_BYTES, STEP_DAY = 200_000, 16 << 20, 64
 
@@ -409,3 +414,41 @@ def feature_age(resolved: DataFrame) -> DataFrame:
         F.avg("snapshot_age_seconds").alias("mean_age"),
         F.max("snapshot_age_seconds").alias("max_age"),
     )
+
+
+def hourly_sketches(values: DataFrame, value: str, at: str, by: Sequence[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """One row per hour of ``at`` and ``by``: ``hour, n`` and a quantile sketch of the finite values.
+
+    Hours are what a report stores; any of them merge to longer periods (``merged_quantiles``). Null values,
+    NaN and infinities are left out, an hour without a value has no row. A sketch holds a few times
+    ``size`` values however many rows it has seen, and is built on the map side.
+    """
+    finite = values.where(F.col(value).isNotNull() & (F.abs(F.col(value).cast("double")) < F.lit(float("inf"))))
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size))
+    return finite.groupBy(F.date_trunc("hour", at).alias("hour"), *by).agg(F.count(F.lit(1)).alias("n"), sketch.alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str], quantiles: Sequence[float] = (0.5, 0.95, 0.99), size: int = SKETCH_SIZE) -> DataFrame:
+    """By ``by`` and quantile: ``n`` and a value whose rank is within about 0.6 % of n of the quantile's
+    (``SKETCH_ERROR`` bounds it for practical purposes), from sketches of any hours."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("_sketch"))
+    found = F.array(
+        *[
+            F.struct(F.lit(float(q)).alias("quantile"), F.kll_sketch_get_quantile_double("_sketch", F.lit(float(q))).alias("value"))
+            for q in quantiles
+        ]
+    )
+    return merged.select(*by, "n", F.inline(found)).select(*by, "quantile", "n", "value")
+
+
+def quantiles_hold(values: DataFrame, found: DataFrame, value: str, by: Sequence[str], error: float = SKETCH_ERROR) -> DataFrame:
+    """``found`` (of ``merged_quantiles``) with ``within``: whether exact ranks are within ``error`` of the quantile."""
+    asked = found.groupBy(*by).agg(F.collect_list(F.struct("quantile", "value")).alias("_asked"))
+    below = (
+        values.where(F.col(value).isNotNull()).join(asked, list(by))
+        .select(*by, F.col(value).cast("double").alias("_x"), F.explode("_asked").alias("_one"))
+        .groupBy(*by, F.col("_one.quantile").alias("quantile"))
+        .agg(F.sum((F.col("_x") < F.col("_one.value")).cast("long")).alias("_less"), F.sum((F.col("_x") <= F.col("_one.value")).cast("long")).alias("_upto"))
+    )
+    within = (F.col("_less") / F.col("n") <= F.col("quantile") + error) & (F.col("_upto") / F.col("n") >= F.col("quantile") - error)
+    return found.join(below, [*by, "quantile"]).select(*by, "quantile", "n", within.alias("within"))

@@ -1037,6 +1037,33 @@ def _(spark, sf):
     return search.feature_age(_resolved(spark, sf)).withColumn("mean_age", F.round("mean_age", 6))
 
 
+@query(
+    "score_quantiles",
+    """SELECT policy, q::DOUBLE AS quantile, count(*) AS n, true AS within
+    FROM ranked CROSS JOIN (VALUES (0.5),(0.95),(0.99)) t(q) GROUP BY 1,2""",
+)
+def _(spark, sf):
+    """p50, p95 and p99 of the scores shown, from hourly sketches, held against exact ranks."""
+    served = _served(spark, sf).select("policy", "created_at", F.explode("items").alias("_i"))
+    shown = scratch_table(served.select("policy", "created_at", F.col("_i.score").alias("score")), "shown-scores")
+    hours = search.hourly_sketches(shown, "score", "created_at", ["policy"])
+    return search.quantiles_hold(shown, scratch_table(search.merged_quantiles(hours, ["policy"]), "quantiles"), "score", ["policy"])
+
+
+@query(
+    "feature_age_quantiles",
+    """SELECT policy, q::DOUBLE AS quantile, count(*) AS n, true AS within
+    FROM resolved CROSS JOIN (VALUES (0.5),(0.95),(0.99)) t(q) WHERE policy IS NOT NULL AND snapshot_age_seconds IS NOT NULL GROUP BY 1,2""",
+)
+def _(spark, sf):
+    """The same of the snapshots' age."""
+    seen = _resolved(spark, sf).where("policy IS NOT NULL AND snapshot_age_seconds IS NOT NULL")
+    seen = seen.select("policy", "created_at", "snapshot_age_seconds")
+    hours = search.hourly_sketches(seen, "snapshot_age_seconds", "created_at", ["policy"])
+    found = scratch_table(search.merged_quantiles(hours, ["policy"]), "quantiles")
+    return search.quantiles_hold(seen, found, "snapshot_age_seconds", ["policy"])
+
+
 @query(
     "active_deployment",
     "SELECT revision, model_version, rollout_percent, changed_at FROM deps ORDER BY revision DESC LIMIT 1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import asof, attribution, experiments, lookup, windows
+from clickloom.operators import asof, attribution, experiments, lookup, search, windows
 from clickloom.operators.quality import ContractError, multiset_equal
 from clickloom.sources import tables
 
@@ -121,3 +121,19 @@ def test_parquet_day_scan(spark, tmp_path):
     assert rows(day.coalesce(1)) == expected
     with pytest.raises(Exception, match="(?i)exists"):
         tables.write_new(fx.impressions(spark), path)
+
+
+def test_hourly_sketches_merge_within_their_error(spark):
+    at = F.timestamp_seconds(F.lit(1_790_000_000) + F.col("id"))
+    score = F.when(F.col("id") % 1000 == 0, F.lit(None)).when(F.col("id") % 1000 == 1, F.lit(float("nan"))).otherwise(F.pmod(F.col("id") * 7919, F.lit(50_021)) / 7.0)
+    shown = spark.range(50_000, numPartitions=4).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("p"), at.alias("at"), score.alias("score"))
+    hours = search.hourly_sketches(shown, "score", "at", ["p"])
+    assert hours.select("hour").distinct().count() >= 13
+    found = search.merged_quantiles(hours, ["p"])
+    finite = shown.where("score IS NOT NULL AND NOT isnan(score)")
+    got = search.quantiles_hold(finite, found, "score", ["p"]).collect()
+    assert len(got) == 6 and all(r["within"] for r in got)
+    assert {r["p"]: r["n"] for r in got} == {r["p"]: r["count"] for r in finite.groupBy("p").count().collect()}
+    shifted = found.withColumn("value", F.col("value") * 0.9)
+    assert not any(r["within"] for r in search.quantiles_hold(finite, shifted, "score", ["p"]).collect())
+    assert search.hourly_sketches(shown.limit(0), "score", "at", ["p"]).isEmpty()
