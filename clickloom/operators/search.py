@@ -27,12 +27,12 @@ SKETCH_ERROR = 0.02
 STEP_ROWS, STEP_BYTES, STEP_DAY = 200_000, 16 << 20, 64
 
 
-def token_postings(ads: DataFrame) -> DataFrame:
-    """token, ad_id and ``tf``, how often the ad's title and category hold the token."""
+def token_postings(ads: DataFrame, *carried: str) -> DataFrame:
+    """token, ad_id, ``tf``, how often the ad's title and category hold the token, and the ad's ``carried`` columns."""
     words = text.tokens(F.concat_ws(" ", "title", "category"))
     # Repeats of a token lie in one ad: its count needs no shuffle.
-    counted = ads.select(F.col("id").alias("ad_id"), words.alias("_words")).select(
-        "ad_id",
+    counted = ads.select(F.col("id").alias("ad_id"), words.alias("_words"), *carried).select(
+        "ad_id", *carried,
         F.explode(
             F.transform(
                 F.array_distinct("_words"),
@@ -40,10 +40,10 @@ def token_postings(ads: DataFrame) -> DataFrame:
             )
         ).alias("_p"),
     )
-    return counted.select("_p.token", "ad_id", "_p.tf")
+    return counted.select("_p.token", "ad_id", "_p.tf", *carried)
 
 
-def _relevance(least: Column) -> Column:
+def relevance(least: Column) -> Column:
     raw = F.lit(0.1) * least
     return raw / (1 + raw)
 
@@ -96,7 +96,7 @@ def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVA
         "_terms", "ad_id", "_least", "rank"
     )
     return asked.join(best_single.unionByName(best_several), "_terms").select(
-        "query", "ad_id", _relevance(F.col("_least")).alias("relevance"), "rank"
+        "query", "ad_id", relevance(F.col("_least")).alias("relevance"), "rank"
     )
 
 

@@ -18,6 +18,7 @@ from clickloom.operators import (
     events,
     experiments,
     incremental,
+    inverted_index,
     lookup,
     paging,
     publication,
@@ -947,6 +948,15 @@ def _(spark, sf):
     return search.lexical_candidates(_asked(spark, sf), views.ads(spark, sf)).withColumn("relevance", r9("relevance"))
 
 
+@query("indexed_search", "SELECT query, ad_id, round(relevance,9) AS relevance, rank FROM cand")
+def _(spark, sf):
+    """From a stored index; at these sizes ranges of 250 ads, so that retrieval has blocks to leave out."""
+    path = scratch_path(spark, "inverted-index")
+    inverted_index.write_index(views.ads(spark, sf), path, range_ads=250)
+    found = inverted_index.retrieve(spark, _asked(spark, sf), path).candidates
+    return found.withColumn("relevance", r9("relevance"))
+
+
 @query(
     "snapshot_as_of",
     """SELECT s.id, n.snapshot_id, n.snapshot_cutoff FROM searches s LEFT JOIN snap_at n ON n.request_id=s.id""",
