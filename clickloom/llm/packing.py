@@ -1,11 +1,12 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-The documents of a source form a queue of tokens. After r tokens have been dealt, source s is owed
-``r * share(s)``; what it has not received of that is its deficit, and the next token always goes to the
-source whose owed token falls due first. Token j of a queue falls due at ``(j + 1/2) / share(s)``. So the
-state after any number of windows, and thus a window's quota of every queue, is a function of the shares
-and of nothing else: tasks need no schedule from each other, and deficits carry over windows and
-partitions because all tasks evaluate the same function. A queue that is empty leaves the rotation.
+The documents of a source form a queue of tokens, cut into quanta. After r tokens have been dealt, source s is
+owed ``r * share(s)``; what it has not received of that is its deficit. A queue whose deficit has grown to half a
+quantum is due and gets a whole one, and the rest of its deficit is carried on: quantum c falls due at
+``(c + 1/2) / share(s)``, and quanta are dealt in this order, ties by the queue's number. So the place of a quantum
+among all tokens is a count of earlier quanta, a function of the shares and of nothing else: tasks need no schedule
+from each other, and deficits carry over windows and partitions because all tasks evaluate the same function. A
+queue that is empty leaves the rotation. A task's work depends on its own quanta, not on the windows they span.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from clickloom.llm.common import keep
 END_OF_TEXT = "<|endoftext|>"
 #: Rows of queue offsets that are sent to all tasks; beyond, tokens are joined to them by a shuffle.
 SENT_ROWS = 1_000_000
+#: Sources of a mixture at most: their totals are a list in every task. And the cells of a matrix of quanta by sources.
+SOURCES, CELLS = 100_000, 1 << 21
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "source string, ids binary"
@@ -92,57 +95,52 @@ def tokenise(docs: DataFrame, ranks_path: str, end_id: int, id: str = "doc_id",
 
 
 class Mixture:
-    """The schedule of some queues: ``totals`` tokens each, dealt in proportion to ``shares``."""
-
-    def __init__(self, totals: np.ndarray, shares: np.ndarray) -> None:
-        self.totals, self.shares = totals.astype(np.int64), shares / shares.sum()
-        self.end = float(np.max((self.totals + 1) / self.shares, initial=1.0)) + 1
-
-    def dealt_by(self, due: np.ndarray) -> np.ndarray:
-        """Tokens of every queue that have fallen due: a row for each time in ``due``."""
-        return np.clip(np.floor(due[:, None] * self.shares + 0.5).astype(np.int64), 0, self.totals)
-
-    def dealt_after(self, ranks: np.ndarray) -> np.ndarray:
-        """Tokens of every queue among the first ``ranks`` tokens of the mixture: a row for each rank."""
-        low, high = np.zeros(len(ranks)), np.full(len(ranks), self.end)
-        for _ in range(200):
-            middle = (low + high) / 2
-            if not ((low < middle) & (middle < high)).any():
-                break
-            below = self.dealt_by(middle).sum(axis=1) < ranks
-            low, high = np.where(below, middle, low), np.where(below, high, middle)
-        # Between two neighbouring numbers several tokens may fall due at once: queues take them in order.
-        least, most = self.dealt_by(low), self.dealt_by(high)
-        least[ranks == 0], most[ranks == 0] = 0, 0
-        due = np.cumsum(most - least, axis=1)
-        return least + np.clip((ranks - least.sum(axis=1))[:, None] - (due - (most - least)), 0, most - least)
+    """The schedule of some queues: ``totals`` tokens each, dealt by quanta in proportion to ``shares``."""
+
+    def __init__(self, totals: np.ndarray, shares: np.ndarray, quantum: int = 1) -> None:
+        self.totals, self.shares, self.quantum = totals.astype(np.int64), shares / shares.sum(), quantum
+        self.quanta = -(-self.totals // quantum)
+
+    def before(self, queue: int, numbers: np.ndarray) -> np.ndarray:
+        """Tokens of all queues dealt before each of the quanta ``numbers`` of one queue."""
+        due, out = (numbers + 0.5) / self.shares[queue], np.empty(len(numbers), np.int64)
+        lower = np.arange(len(self.shares)) < queue
+        rows = max(1, CELLS // len(self.shares))
+        for k in range(0, len(numbers), rows):
+            at = due[k : k + rows, None]
+            count = np.clip(np.floor(at * self.shares + 0.5), 0, self.quanta).astype(np.int64)
+            # A product may round to either side of a due time; the due times themselves decide.
+            count -= (count > 0) & ~self._sooner(count - 1, at, lower)
+            count += (count < self.quanta) & self._sooner(count, at, lower)
+            out[k : k + rows] = np.minimum(count * self.quantum, self.totals).sum(axis=1)
+        return out
+
+    def _sooner(self, numbers: np.ndarray, at: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        due = (numbers + 0.5) / self.shares
+        return (due < at) | (due == at) & lower
 
 
 def _pieces(mixture: Mixture, queue: int, first: int, counts: np.ndarray, window: int):
     """For consecutive documents of one queue from its token ``first`` on: the piece's document, start in
-    the document, length, window and offset there."""
+    the document, length, window and offset there. Windows are no shorter than a quantum."""
     edges = first + np.concatenate([[0], np.cumsum(counts)])
-    total = int(mixture.totals.sum())
-    last = -(-total // window)
-    # The first window that deals past a token, by bisection over windows.
-    span = []
-    for token in (edges[0], max(edges[0], edges[-1] - 1)):
-        low, high = 0, last
-        while low < high:
-            middle = (low + high) // 2
-            done = int(mixture.dealt_after(np.array([min(total, (middle + 1) * window)]))[0, queue])
-            low, high = (low, middle) if done > token else (middle + 1, high)
-        span.append(low)
-    starts = np.arange(span[0], span[1] + 2, dtype=np.int64)
-    dealt = mixture.dealt_after(np.minimum(starts * window, total))
-    quota = np.diff(dealt, axis=0)
-    lead = np.cumsum(quota, axis=1)[:, queue] - quota[:, queue]
-    mine = dealt[:, queue]
-    cuts = np.unique(np.concatenate([edges, mine[(mine > edges[0]) & (mine < edges[-1])]]))
+    numbers = np.arange(edges[0] // mixture.quantum, (edges[-1] - 1) // mixture.quantum + 1)
+    heads, before = numbers * mixture.quantum, mixture.before(queue, numbers)
+    # A quantum is cut where a window ends in it.
+    ends = heads + -before % window
+    ends = ends[ends < heads + mixture.quantum]
+    cuts = np.concatenate([heads, ends])
+    cuts = np.unique(np.concatenate([edges, cuts[(cuts > edges[0]) & (cuts < edges[-1])]]))
     begin, length = cuts[:-1], np.diff(cuts)
     doc = np.searchsorted(edges, begin, side="right") - 1
-    at = np.searchsorted(mine, begin, side="right") - 1
-    return doc, begin - edges[doc], length, starts[at], lead[at] + begin - mine[at]
+    number = begin // mixture.quantum - numbers[0]
+    place = before[number] + begin - heads[number]
+    # Quanta of a document that follow each other inside a window are one piece.
+    apart = np.ones(len(begin), bool)
+    apart[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + length[:-1]) | (place[1:] % window == 0)
+    kept = np.flatnonzero(apart)
+    begin, doc, place, length = begin[kept], doc[kept], place[kept], np.add.reduceat(length, kept)
+    return doc, begin - edges[doc], length, place // window, place % window
 
 
 def pack(
@@ -151,6 +149,7 @@ def pack(
     end_id: int,
     window: int = 2048,
     targets: dict[str, float] | None = None,
+    quantum: int | None = None,
     id: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -159,20 +158,27 @@ def pack(
     offset, source, ids`` (unsigned little-endian 16-bit), in sequences of ``window`` tokens.
 
     ``targets`` are the token proportions of sources; by default those of the table itself, so that all
-    queues end together. All tokens are packed: only the last sequence is padded. Null text is empty and
+    queues end together. A due queue gets ``quantum`` tokens at once, an eighth of a window unless given and never more
+    than a window: pieces are that long, but for ends of documents, windows and queues, and after any number of
+    windows a source departs from its share by a quantum for every two sources and one at most. More than
+    ``SOURCES`` sources are an error: no list of sources, but ids, are in the column then. All tokens are packed: only the last sequence is padded. Null text is empty and
     gives the end token alone; null ids and repeated rows are packed like others; a null source is a queue
     of its own. With ``targets`` every source needs a positive one, under ``None`` for the null source. Ids
     must be below 65 536. Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    quantum = max(1, window // 8) if quantum is None else quantum
+    if not 1 <= quantum <= window:
+        raise ValueError(f"A quantum of {quantum} does not fit a window of {window} tokens")
     tokens = tokenise(docs, ranks_path, end_id, id, text, source)
     by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     queues = by_part.select(
         F.col("source").alias("_source"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("queue_before")
     )
-    # One row per source: a mixture's list of sources is a setting, not data.
-    totals = {row["source"]: row["n"] for row in by_part.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    found = by_part.groupBy("source").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"More than {SOURCES} sources")
+    totals = {row["source"]: row["n"] for row in found}
     names = sorted(totals, key=lambda name: (name is not None, name))
     if targets is not None and any(not targets.get(name, 0) > 0 for name in names):
         raise ValueError("Every source needs a positive target")
@@ -180,7 +186,7 @@ def pack(
     shares = sizes.astype(float) if targets is None else np.array([targets[name] for name in names], float)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mixture, number = Mixture(sizes, shares), {name: k for k, name in enumerate(names)}
+        mixture, number = Mixture(sizes, shares, quantum), {name: k for k, name in enumerate(names)}
         for frame in frames:
             frame["at"] = frame["queue_before"] + frame["before"]
             for name, rows in frame.groupby("source", dropna=False):

@@ -89,9 +89,10 @@ def check_packing(pieces, rows, library, window):
     return by_sequence
 
 
-def test_every_window_has_the_proportions_of_the_table(documents, library):
+@pytest.mark.parametrize("quantum", [1, 32, 256])
+def test_every_window_has_the_proportions_of_the_table(documents, library, quantum):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    pieces = packing.pack(documents, RANKS, 1, window=256).collect()
+    pieces = packing.pack(documents, RANKS, 1, window=256, quantum=quantum).collect()
     by_sequence = check_packing(pieces, rows, library, 256)
     total = defaultdict(int)
     for p in pieces:
@@ -102,14 +103,14 @@ def test_every_window_has_the_proportions_of_the_table(documents, library):
         for p in by_sequence[number]:
             dealt[p["source"]] += p["length"]
         for source, n in total.items():
-            assert abs(dealt[source] - n / everything * 256 * (number + 1)) <= len(total) / 2 + 1
+            assert abs(dealt[source] - n / everything * 256 * (number + 1)) <= quantum * (len(total) / 2 + 1)
 
 
 def test_targets_and_edges(docs, library):
     draw = random.Random(1)
     words = lambda n: " ".join(draw.choice("red green blue".split()) for _ in range(n))
     rows = [(k, words(draw.randrange(1, 90)), None, draw.choice(["a", "b", None])) for k in range(60)] + [(60, None, None, "a"), (61, "", None, "a"), (62, words(3000), None, "b")]
-    pieces = packing.pack(docs(*rows), RANKS, 1, window=64, targets={"a": 1, "b": 2, None: 1}).collect()
+    pieces = packing.pack(docs(*rows), RANKS, 1, window=64, targets={"a": 1, "b": 2, None: 1}, quantum=1).collect()
     by_sequence = check_packing(pieces, [(r[0], r[1]) for r in rows], library, 64)
     first = defaultdict(int)
     for p in by_sequence[0]:
@@ -126,8 +127,59 @@ def test_repeated_and_null_ids_are_packed(docs):
     assert sum(p["length"] for p in pieces) == 8 and {p["doc_id"] for p in pieces} == {1, None}
 
 
-def test_schedule_gives_each_rank_once():
-    mixture = packing.Mixture(np.array([7, 1, 40, 12]), np.array([3.0, 1.0, 0.01, 3.0]))
-    dealt = mixture.dealt_after(np.arange(61))
-    assert (dealt.sum(axis=1) == np.arange(61)).all() and (np.diff(dealt, axis=0) >= 0).all()
-    assert dealt[-1].tolist() == [7, 1, 40, 12]
+@pytest.mark.parametrize("quantum", [1, 3, 8])
+def test_schedule_equals_dealing_one_by_one(quantum):
+    """Against a loop that deals the quantum that falls due first, over shares with ties."""
+    totals, shares = np.array([7, 1, 40, 12, 33]), np.array([3.0, 1.0, 0.01, 3.0, 1.5])
+    mixture = packing.Mixture(totals, shares, quantum)
+    every = [((c + 0.5) / mixture.shares[s], s, c) for s in range(5) for c in range(-(-totals[s] // quantum))]
+    at = 0
+    for _, s, c in sorted(every):
+        assert mixture.before(s, np.array([c])).tolist() == [at]
+        at += min(quantum, totals[s] - c * quantum)
+    assert at == totals.sum()
+
+
+def test_a_tiny_source_of_a_huge_corpus_is_packed_in_little_memory():
+    """A million tokens among 10^12: the work is that of its own quanta, and pieces are no shreds."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    counts = draw.integers(200, 1800, 1000)
+    mixture = packing.Mixture(np.array([10**12, int(counts.sum()), 3 * 10**11]), np.array([10**12, counts.sum(), 3 * 10**11], float), 256)
+    tracemalloc.start()
+    doc, start, length, sequence, offset = packing._pieces(mixture, 1, 0, counts, 2048)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+    assert np.bincount(doc, length, 1000).tolist() == counts.tolist()
+    assert (offset + length <= 2048).all() and np.median(length) >= 128 and len(length) < counts.sum() / 256 * 2 + 1000
+    assert sequence[0] < sequence[-1] <= mixture.totals.sum() // 2048 and (np.diff(sequence * 2048 + offset) > 0).all()
+    # Whole quanta but for ends of documents and windows.
+    whole = packing._pieces(mixture, 1, 0, np.array([counts.sum()]), 2048)[2]
+    assert np.median(whole) == 256
+
+
+def test_many_sources(docs):
+    rows = [(k, "one two three", None, f"s{k}") for k in range(300)]
+    pieces = packing.pack(docs(*rows), RANKS, 1, window=64).collect()
+    assert sum(p["length"] for p in pieces) == 300 * 4
+    assert sorted({p["sequence_id"] for p in pieces}) == list(range(-(-1200 // 64)))
+
+
+def test_too_many_sources_or_too_large_a_quantum(docs, monkeypatch):
+    rows = [(k, "one", None, f"s{k}") for k in range(5)]
+    with pytest.raises(ValueError):
+        packing.pack(docs(*rows), RANKS, 1, window=64, quantum=65)
+    monkeypatch.setattr(packing, "SOURCES", 4)
+    with pytest.raises(ValueError):
+        packing.pack(docs(*rows), RANKS, 1)
+
+
+def test_offsets_are_shuffled_beyond_the_bound(docs, monkeypatch):
+    rows = [(k, "one two three four " * k, None, "ab"[k % 2]) for k in range(40)]
+    picked = ["doc_id", "start", "length", "sequence_id", "offset"]
+    sent = sorted(map(tuple, packing.pack(docs(*rows), RANKS, 1, window=64).select(picked).collect()))
+    monkeypatch.setattr(packing, "SENT_ROWS", 0)
+    shuffled = packing.pack(docs(*rows), RANKS, 1, window=64)
+    assert "SortMergeJoin" in shuffled._jdf.queryExecution().toString()
+    assert len(shuffled.collect()) >= 40 and sum(p["length"] for p in shuffled.collect()) == sum(x[2] for x in sent)
