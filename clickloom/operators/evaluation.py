@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions import text
@@ -64,10 +63,37 @@ def model_quality(
     )
 
 
-def area_under_roc(scored: DataFrame, score: str = "p") -> float:
-    """Exact: every distinct score is a threshold. Scores are reduced by value before the sort."""
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol="label", numBins=0)
-    return evaluator.evaluate(scored.select(score, "label"))
+def area_under_roc(scored: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
+    """One row, ``auc``: the share of pairs of a clicked and another row that the score orders rightly, ties half.
+
+    Exact: every distinct score is a threshold. Rows are counted by score, scores are dealt to ranges, and inside a
+    range running sums give each clicked row the others below it. A range adds those of the ranges before as a whole,
+    so only two counts and a sum for each range come together. Rows without a score or label do not count; without
+    both kinds of rows the area is null.
+    """
+    counted = (
+        scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        .groupBy(F.col(score).alias("_score"))
+        .agg(F.sum((F.col(label) > 0).cast("long")).alias("_hits"), F.sum((F.col(label) <= 0).cast("long")).alias("_rest"))
+    )
+    below = Window.partitionBy("_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.col("_hits") * (F.coalesce(F.sum("_rest").over(below), F.lit(0)) + F.col("_rest") / 2)
+    ranges = (
+        counted.repartitionByRange("_score").withColumn("_range", F.spark_partition_id())
+        .withColumn("_wins", wins)
+        .groupBy("_range").agg(F.sum("_hits").alias("hits"), F.sum("_rest").alias("rest"), F.sum("_wins").alias("wins"))
+    )
+    # A row for each range, as many as there are shuffle partitions.
+    zero = F.struct(F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("rest"), F.lit(0.0).alias("wins"))
+    total = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("_range", "hits", "rest", "wins"))), zero,
+        lambda t, r: F.struct(
+            (t["hits"] + r["hits"]).alias("hits"), (t["rest"] + r["rest"]).alias("rest"),
+            (t["wins"] + r["wins"] + r["hits"].cast("double") * t["rest"]).alias("wins"),
+        ),
+    )
+    pairs = F.col("_t.hits").cast("double") * F.col("_t.rest")
+    return ranges.agg(total.alias("_t")).select(F.when(pairs > 0, F.col("_t.wins") / pairs).alias("auc"))
 
 
 def ndcg_at(scored: DataFrame, score: str, depth: int = 10) -> DataFrame:

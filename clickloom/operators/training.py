@@ -32,23 +32,48 @@ def training_examples(
         F.col("smoothed_ctr").alias("smoothedCtr"),
         F.col("log_impressions").alias("logImpressions"),
     )
-    return (
-        labelled.join(served, "request_id")
-        .join(captured, ["request_id", "ad_id"])
-        .select(
-            F.col("id").alias("impressionId"),
-            F.col("request_id").alias("requestId"),
-            F.col("ad_id").alias("adId"),
-            "predictionTime",
-            F.col("occurred_at").alias("impressionTime"),
-            (F.col("occurred_at") + hours(MATURITY_HOURS)).alias("labelAvailableAt"),
-            F.lit(SCHEMA_VERSION).alias("schemaVersion"),
-            *FEATURES,
-            F.col("label").cast("double").alias("label"),
-        )
+    return _as_examples(labelled.join(served, "request_id").join(captured, ["request_id", "ad_id"]))
+
+
+def _as_examples(labelled: DataFrame) -> DataFrame:
+    return labelled.select(
+        F.col("id").alias("impressionId"),
+        F.col("request_id").alias("requestId"),
+        F.col("ad_id").alias("adId"),
+        "predictionTime",
+        F.col("occurred_at").alias("impressionTime"),
+        (F.col("occurred_at") + hours(MATURITY_HOURS)).alias("labelAvailableAt"),
+        F.lit(SCHEMA_VERSION).alias("schemaVersion"),
+        *FEATURES,
+        F.col("label").cast("double").alias("label"),
     )
 
 
+def captured_impressions(impressions: DataFrame, requests: DataFrame, results: DataFrame) -> DataFrame:
+    """Impressions with the time and the features of their serving, joined by the request alone.
+
+    Over tables bucketed by request (``sources.bucketed``; requests by ``id``) no row moves. A join on request and
+    ad would be shuffled by both, so the ad is compared as a range of one value, which stays a condition of the
+    join by request: a request has at most 50 results.
+    """
+    served = requests.select(F.col("id").alias("request_id"), F.col("created_at").alias("predictionTime"))
+    captured = results.select(
+        F.col("request_id").alias("_request"), F.col("ad_id").alias("_ad"),
+        F.col("text_relevance").alias("textRelevance"),
+        F.col("smoothed_ctr").alias("smoothedCtr"),
+        F.col("log_impressions").alias("logImpressions"),
+    )
+    same = (F.col("request_id") == F.col("_request")) & F.col("ad_id").between(F.col("_ad"), F.col("_ad"))
+    return impressions.join(served, "request_id").join(captured, same).drop("_request", "_ad")
+
+
+def training_examples_by_request(
+    impressions: DataFrame, clicks: DataFrame, requests: DataFrame, results: DataFrame, as_of
+) -> DataFrame:
+    """``training_examples`` from tables bucketed by request: impressions move once, to meet their clicks."""
+    return _as_examples(mature_impressions(captured_impressions(impressions, requests, results), clicks, as_of))
+
+
 # Written to the microsecond; read with or without a zone, as both timestamp types are written.
 JSON_TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",

@@ -31,7 +31,7 @@ from clickloom.plans import oracle as o
 from clickloom.plans import training_run, views
 from clickloom.schemas import FEATURES, MATURITY_HOURS, TRAINING_FIELDS
 from clickloom.session import scratch_path, scratch_table
-from clickloom.sources import provenance, sorted_files, tables
+from clickloom.sources import bucketed, provenance, sorted_files, tables
 from clickloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +477,21 @@ def _(spark, sf):
     return _rounded_examples(_examples(spark, sf))
 
 
+@query("training_examples_by_request", _EXAMPLES)
+def _(spark, sf):
+    """From tables bucketed by request; eight buckets at these sizes."""
+    def stored(df, key, name):
+        return bucketed.write_bucketed(df, key, name, scratch_path(spark, name), buckets=8)
+
+    return _rounded_examples(
+        training.training_examples_by_request(
+            stored(views.served_impressions(spark, sf), "request_id", "impressions"), views.served_clicks(spark, sf),
+            stored(views.search_requests(spark, sf), "id", "requests"),
+            stored(views.search_results(spark, sf), "request_id", "results"), AS_OF,
+        )
+    )
+
+
 @query(
     "frozen_export",
     _EXAMPLES,
@@ -774,8 +789,7 @@ def _(spark, sf):
       FROM (SELECT label, p FROM scored)) GROUP BY np, nn""",
 )
 def _(spark, sf):
-    auc = evaluation.area_under_roc(_scored(spark, sf))
-    return spark.range(1).select(F.round(F.lit(auc), 9).alias("auc"))
+    return evaluation.area_under_roc(_scored(spark, sf)).select(r9("auc").alias("auc"))
 
 
 def _ndcg_sql(score: str) -> str:

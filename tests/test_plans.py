@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import asof, attribution, events, lookup, quality, skew, windows
+from clickloom.operators import asof, attribution, evaluation, events, lookup, quality, skew, training, windows
 from clickloom.plans import views
 from clickloom.plans.inspect import final_plan, formatted_plan
-from clickloom.sources import tables
+from clickloom.sources import bucketed, tables
 
 from .conftest import SF, rows
 
@@ -150,6 +151,49 @@ def test_unique_starts_move_once(spark):
         assert "Exchange" not in plan[: plan.index("SortMergeJoin LeftOuter")] and "CartesianProduct" not in plan
 
 
+def test_star_join_over_buckets_moves_nothing(spark, tmp_path):
+    plain = [views.served_impressions(spark, SF), views.search_requests(spark, SF), views.search_results(spark, SF)]
+    stored = [
+        bucketed.write_bucketed(df, key, name, str(tmp_path / name), buckets=4)
+        for df, key, name in zip(plain, ("request_id", "id", "request_id"), ("impressions", "requests", "results"))
+    ]
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        joined = training.captured_impressions(*stored)
+        assert formatted_plan(joined, "simple").count("SortMergeJoin") == 2 and "Exchange" not in final_plan(joined)
+        # Labels come after: the joined impressions move once, by id.
+        clicks, as_of = views.served_clicks(spark, SF), "2026-01-01 00:00:00"
+        examples = training.training_examples_by_request(stored[0], clicks, *stored[1:], as_of)
+        lines = formatted_plan(examples, "simple").splitlines()
+        top = next(i for i, line in enumerate(lines) if "SortMergeJoin [request_id" in line)
+        depth = lines[top].index("SortMergeJoin")
+        below = lines[top:top + 1] + list(itertools.takewhile(lambda line: re.search(r"[A-Z]", line).start() > depth, lines[top + 1 :]))
+        assert sum("SortMergeJoin" in x for x in below) == 2 and sum("FileScan" in x for x in below) == 3
+        assert not any("Exchange" in x for x in below)
+        assert "Exchange" in lines[top - 2]
+        expected = training.training_examples(plain[0], clicks, *plain[1:], as_of)
+        assert rows(examples, *expected.columns) == rows(expected)
+
+
+def test_area_under_roc_is_a_plan(spark):
+    """No job while it is built, no window over the whole table, and the area of a plain count over pairs."""
+    scored = spark.range(3000).select(
+        F.when(F.col("id") % 50 > 0, F.round(F.pmod(F.xxhash64("id"), F.lit(400)) / 400, 4)).alias("p"),
+        F.when(F.col("id") % 70 > 0, (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).cast("int")).alias("label"),
+    )
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("area", "area")
+    area = evaluation.area_under_roc(scored)
+    assert not tracker.getJobIdsForGroup("area")
+    windows_of = [line for line in formatted_plan(area, "simple").splitlines() if re.search(r"\bWindow \[", line)]
+    assert windows_of and all(re.search(r"windowspecdefinition\(_range#", line) for line in windows_of)
+    kept = scored.where("p IS NOT NULL AND label IS NOT NULL").collect()
+    hits, rest = [r["p"] for r in kept if r["label"]], [r["p"] for r in kept if not r["label"]]
+    wins = sum((a > b) + 0.5 * (a == b) for a in hits for b in rest)
+    assert area.first()["auc"] == pytest.approx(wins / len(hits) / len(rest), abs=1e-12)
+    assert evaluation.area_under_roc(scored.where("label = 0")).first()["auc"] is None
+    assert evaluation.area_under_roc(scored.where("false")).first()["auc"] is None
+
+
 def test_no_operator_uses_python_or_rdds_or_nested_loops(spark):
     from clickloom.plans.queries import QUERIES
 

@@ -183,7 +183,7 @@ def test_metrics_by_hand(spark):
     assert loss["log_loss"] == pytest.approx(-sum(a * math.log(v) + (1 - a) * math.log(1 - v) for a, v in zip(y, clamp)) / 5)
     assert loss["brier"] == pytest.approx(sum((v - a) ** 2 for a, v in zip(y, p)) / 5)
     wins = sum((p[i] > p[j]) + 0.5 * (p[i] == p[j]) for i in range(5) for j in range(5) if y[i] > y[j])
-    assert evaluation.area_under_roc(scored) == pytest.approx(wins / 6)
+    assert evaluation.area_under_roc(scored).first()["auc"] == pytest.approx(wins / 6)
     # r1 ranks a0 (clicked), a1, a2 (clicked); r2 ranks a4 (clicked), a3.
     expected = ((1 + 1 / math.log2(4)) / (1 + 1 / math.log2(3)) + 1) / 2
     assert evaluation.ndcg_at(scored, "p").first()["ndcg"] == pytest.approx(expected)
