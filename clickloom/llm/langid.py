@@ -26,6 +26,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 2_000_000
 #: One of so many texts calibrates; languages of fewer than FEW texts are calibrated by leaving out as many parts.
 PARTS, FEW = 5, 25
+#: Groups of tasks that find the sample's texts before they are ranked as a whole.
+GROUPS = 64
 
 
 @lru_cache(maxsize=1)
@@ -122,13 +124,18 @@ def held_out(id, parts: int = 4, part: int = 2):
 def sample(docs: DataFrame, texts: int, chars: int, id: str, text: str, lang: str) -> DataFrame:
     """The bounded training sample ``_lang, _text, _n, _k``: per language the ``texts`` distinct texts of the
     smallest id hash, with their rank from 1 on and the number of ranks. Of a text of more than ``chars``
-    characters the first ``chars`` are taken. Equal hashes go by a hash of the text."""
+    characters the first ``chars`` are taken. Equal hashes go by a hash of the text. The smallest are found for each
+    of ``GROUPS`` groups of tasks first: a group meets ``texts`` of a language from each of its tasks, and the last
+    ranking ``GROUPS * texts`` at most."""
     start = F.substring(docs[text], 1, chars)
     labelled = docs.where(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[lang].alias("_lang"), start.alias("_text"), docs[id].cast("string").alias("_id"))
     rows = labelled.withColumn("_digest", F.xxhash64("_text"))
     # Copies collapse in each task before the shuffle, and no text is moved for the ranks.
     distinct, each = rows.groupBy("_lang", "_digest").agg(F.min(F.xxhash64("_id", F.lit(17))).alias("_at")), Window.partitionBy("_lang")
-    first = distinct.withColumn("_n", F.row_number().over(each.orderBy("_at", "_digest"))).where(F.col("_n") <= texts)
+    order = ["_at", "_digest"]
+    grouped = distinct.withColumn("_group", F.spark_partition_id() % GROUPS)
+    nearly = grouped.withColumn("_n", F.row_number().over(Window.partitionBy("_lang", "_group").orderBy(*order))).where(F.col("_n") <= texts)
+    first = nearly.drop("_group").withColumn("_n", F.row_number().over(each.orderBy(*order))).where(F.col("_n") <= texts)
     first = first.withColumn("_k", F.count(F.lit(1)).over(each)).drop("_at")
     return rows.join(F.broadcast(first), ["_lang", "_digest"]).dropDuplicates(["_lang", "_n"]).select("_lang", "_text", "_n", "_k")
 
@@ -305,5 +312,11 @@ def identify(docs: DataFrame, models: dict[str, Model], order: int = 4, limit: f
 
 
 def keep_identified(docs: DataFrame, models: dict[str, Model], order: int = 4, limit: float = 4.0, excess: float = 1.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is accepted; nothing is shuffled and no column changes."""
+    """The rows of ``docs`` whose text is accepted; nothing is shuffled and no column changes.
+
+    Null texts and those without a letter go, repeated rows stay as often as they are. Without any model, as
+    where no document has a label, nothing can be judged and all rows stay.
+    """
+    if not models:
+        return docs
     return docs.where(judge(models, order, limit, excess)(docs[text])["accepted"])

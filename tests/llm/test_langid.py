@@ -70,6 +70,7 @@ def test_without_labels(docs):
     models = langid.train(docs((1, "text", None)))
     assert models == {}
     assert langid.identify(docs((1, "text", None)), models).first()["lang_pred"] == "und"
+    assert langid.keep_identified(docs((1, "text", None), (2, None, None)), models).count() == 2
 
 
 def test_clean_documents_are_kept(trained):
@@ -123,3 +124,19 @@ def test_sample_bound_is_strict(docs):
     got = langid.sample(docs(*rows, *rows[:9]), 6, 20_000, "doc_id", "text", "lang").collect()
     assert sorted((r["_lang"], r["_n"], r["_k"]) for r in got) == [(lang, n, 6) for lang in ("xx", "yy") for n in range(1, 7)]
     assert len({r["_text"] for r in got}) == 12
+
+
+@pytest.mark.parametrize("groups", [1, 3, 64])
+def test_sample_is_that_of_one_ranking(docs, monkeypatch, groups):
+    """However tasks are grouped: the texts of the smallest hashes, over more partitions than groups."""
+    rows = [(i, f"text {i % 150}", "xx" if i % 3 else "yy") for i in range(400)]
+    monkeypatch.setattr(langid, "GROUPS", groups)
+    frame = docs(*rows).repartition(9)
+    got = langid.sample(frame, 20, 100, "doc_id", "text", "lang").collect()
+    ranked = frame.selectExpr("lang", "text", "xxhash64(string(doc_id), 17) AS at", "xxhash64(text) AS d").collect()
+    for lang in ("xx", "yy"):
+        best = {}
+        for r in ranked:
+            if r["lang"] == lang:
+                best[r["text"]] = min(best.get(r["text"], (r["at"], r["d"])), (r["at"], r["d"]))
+        assert [r["_text"] for r in sorted((g for g in got if g["_lang"] == lang), key=lambda g: g["_n"])] == sorted(best, key=best.get)[:20]
