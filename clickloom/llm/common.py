@@ -33,6 +33,14 @@ def one_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is named so."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Hands the library to Python workers that would not find it: for sessions started elsewhere than in
     the folder of the package, without it on PYTHONPATH and without having it installed."""

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import keep, one_space
+from clickloom.llm.common import keep, one_space, unused
 
 INDEX = "bucket long, digest string, keep_id long, group_size long"
 SLOTS, KICKS = 4, 200
@@ -200,9 +200,10 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", per_buc
 def drop_exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each text: of the smallest id, or without one where no row has an id. Of rows
     that repeat that id and text, or have the text and no id, any one stays."""
-    key = F.coalesce(docs[id].cast("long").cast("string"), F.lit(""))
+    key, digest = unused(docs, "__key"), unused(docs, "__text_sha256")
     kept = exact_dedup(docs, id, text).where("kept")
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key"), F.col("text_sha256").alias("__text_sha256"))
+    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("text_sha256").alias(digest))
+    named = {key: F.coalesce(docs[id].cast("long").cast("string"), F.lit("")), digest: with_digest(docs, text)}
     # Repeated rows collapse in each task before the shuffle, which serves the join as well.
-    single = docs.withColumns({"__key": key, "__text_sha256": with_digest(docs, text)}).dropDuplicates(["__key", "__text_sha256"])
-    return single.join(kept.distinct(), ["__key", "__text_sha256"], "left_semi").drop("__key", "__text_sha256")
+    single = docs.withColumns(named).dropDuplicates([key, digest])
+    return single.join(kept.distinct(), [key, digest], "left_semi").drop(key, digest)

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.llm.common import unused
+
 RULES = "rule string, verdict string, pattern string, tokens array<string>, weight int"
 #: Weight of the host rules: above every other pattern rule, and by length among themselves.
 HOST_RULE = 1_000_000
@@ -81,22 +83,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     Rows of ``pages`` that repeat all stay; its columns named like the four new ones are replaced. Empty
     tables, of pages or of rules, are no special case.
     """
-    rows = pages.drop(*{"host", "path", "rule", "verdict"} - {url}).withColumns(
-        {"__host": host_of(pages[url]), "__path": path_of(pages[url])}
-    )
+    rows = pages.drop(*{"host", "path", "rule", "verdict"} - {url})
+    given = rows.columns
+    host, path, whole, found = (unused(pages, name) for name in ("__host", "__path", "__url", "__best"))
+    rows = rows.withColumns({host: host_of(pages[url]), path: path_of(pages[url])})
     # "/" cannot occur in a host, so host and path are found again in their concatenation.
-    target = F.concat("__host", "__path")
-    urls = rows.select(target.alias("__url")).distinct().withColumn("tokens", tokens_of(F.col("__url")))
+    rows = rows.withColumn(whole, F.concat(host, path))
+    urls = rows.select(whole).distinct().withColumn("tokens", tokens_of(F.col(whole)))
     index = rule_index(rules, urls)
-    fetched = urls.select("__url", F.explode("tokens").alias("token")).join(index, "token")
-    matched = fetched.where("__url rlike pattern")
-    best = matched.groupBy("__url").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rule", "verdict")).alias("__best"))
-    judged = rows.withColumn("__url", target).join(best, "__url", "left")
-    kept = [c for c in rows.columns if not c.startswith("__") or c in pages.columns]
-    return judged.select(
-        *kept,
-        F.col("__host").alias("host"),
-        F.col("__path").alias("path"),
-        F.col("__best.rule").alias("rule"),
-        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
+    fetched = urls.select(whole, F.explode("tokens").alias("token")).join(index, "token")
+    matched = fetched.where(F.rlike(whole, "pattern"))
+    best = matched.groupBy(whole).agg(F.min(F.struct((-F.col("weight")).alias("w"), "rule", "verdict")).alias(found))
+    return rows.join(best, whole, "left").select(
+        *[F.col(f"`{c}`") for c in given if c not in ("host", "path", "rule", "verdict")],
+        F.col(host).alias("host"),
+        F.col(path).alias("path"),
+        F.col(f"{found}.rule").alias("rule"),
+        F.coalesce(F.col(f"{found}.verdict"), F.lit(default)).alias("verdict"),
     )

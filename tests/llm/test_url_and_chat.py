@@ -41,6 +41,14 @@ def test_index_takes_the_rarest_token(spark):
     assert {r["rule"]: r["token"] for r in url_rules.rule_index(rules, urls).collect()} == {"x": "b", "y": "zz"}
 
 
+def test_columns_named_like_helpers_stay(spark):
+    names = ["url", "__host", "__path", "__URL", "__best", "tokens", "host"]
+    pages = spark.createDataFrame([("http://a.net/x", *"abcdef")], ", ".join(f"{n} string" for n in names))
+    got = url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES))
+    assert got.columns == [*names[:-1], "host", "path", "rule", "verdict"]
+    assert tuple(got.first()) == ("http://a.net/x", *"abcde", "a.net", "/x", "net/", "block")
+
+
 def test_url_edges(spark):
     assert judged(spark, []) == {}
     assert judged(spark, ["http://a.net/"], []) == {0: ("a.net", "/", None, "allow")}
