@@ -27,20 +27,24 @@ SKETCH_ERROR = 0.02
 STEP_ROWS, STEP_BYTES, STEP_DAY = 200_000, 16 << 20, 64
 
 
-def token_postings(ads: DataFrame, *carried: str) -> DataFrame:
-    """token, ad_id, ``tf``, how often the ad's title and category hold the token, and the ad's ``carried`` columns."""
+def token_counts(ads: DataFrame, *carried: str) -> DataFrame:
+    """ad_id, the ad's ``carried`` columns and ``held``, each token of title and category with how often they hold it."""
     words = text.tokens(F.concat_ws(" ", "title", "category"))
     # Repeats of a token lie in one ad: its count needs no shuffle.
-    counted = ads.select(F.col("id").alias("ad_id"), words.alias("_words"), *carried).select(
+    return ads.select(F.col("id").alias("ad_id"), words.alias("_words"), *carried).select(
         "ad_id", *carried,
-        F.explode(
+        F.map_from_entries(
             F.transform(
                 F.array_distinct("_words"),
                 lambda t: F.struct(t.alias("token"), F.size(F.filter("_words", lambda w: w == t)).alias("tf")),
             )
-        ).alias("_p"),
+        ).alias("held"),
     )
-    return counted.select("_p.token", "ad_id", "_p.tf", *carried)
+
+
+def token_postings(ads: DataFrame, *carried: str) -> DataFrame:
+    """token, ad_id, ``tf``, how often the ad's title and category hold the token, and the ad's ``carried`` columns."""
+    return token_counts(ads, *carried).select("ad_id", *carried, F.explode("held").alias("token", "tf")).select("token", "ad_id", "tf", *carried)
 
 
 def relevance(least: Column) -> Column:
@@ -54,8 +58,9 @@ def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVA
     relevance = raw / (1 + raw) with raw = 0.1 * the smallest term frequency over the query tokens;
     ties go to the lower id. Queries that ask for the same set of tokens are one retrieval. For a
     single token the ads are ranked per token before any query is met, so a token that every ad holds
-    gives ``depth`` rows. A set of several meets the ads on its rarest token, and only what all other
-    tokens hold as well goes on to the ranking.
+    gives ``depth`` rows. A set of several meets the ads on its rarest token; an ad carries the counts of
+    all its tokens, so the others are looked up in its row and only what holds them all is ranked. No
+    join may broadcast postings, whose size an estimate from the files' does not tell.
     """
     asked = (
         queries.select("query").distinct()
@@ -63,39 +68,35 @@ def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVA
         .where(F.size("_terms") > 0)
     )
     sets = asked.select("_terms").distinct()
-    postings = token_postings(ads)
+    dealt = ads.select("id", "title", "category")
+    postings = token_postings(dealt)
     order = [F.desc("tf"), F.asc("ad_id")]
     single = sets.where(F.size("_terms") == 1).select("_terms", F.col("_terms")[0].alias("token"))
     # Among ads with one token the relevance rises with its frequency, so the order is the same.
-    best_single = top_per_group(postings, ["token"], order, depth).join(single, "token").select(
+    best_single = top_per_group(postings, ["token"], order, depth).hint("merge").join(single, "token").select(
         "_terms", "ad_id", F.col("tf").alias("_least"), "rank"
     )
 
     several = sets.where(F.size("_terms") > 1)
     terms = several.select("_terms", F.explode("_terms").alias("token"))
-    frequency = postings.join(terms.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (
-        terms.join(frequency, "token")
+        terms.join(frequency.hint("merge"), "token")
         .groupBy("_terms")
-        .agg(F.min(F.struct("_df", "token")).alias("_rarest"), F.count(F.lit(1)).alias("_found"))
+        .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_found"))
         # A token that no ad holds leaves the set without candidates.
-        .where(F.col("_found") == F.size("_terms"))
-        .select("_terms", F.col("_rarest.token").alias("_first"))
-    )
-    met = rarest.join(postings.withColumnRenamed("token", "_first"), "_first")
-    others = F.array_except("_terms", F.array("_first"))
-    checked = met.select("_terms", "ad_id", F.col("tf").alias("_own"), F.explode(others).alias("token")).join(
-        postings, ["token", "ad_id"]
-    )
-    held = (
-        checked.groupBy("_terms", "ad_id")
-        .agg(F.least(F.min("tf"), F.min("_own")).alias("_least"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") == F.size("_terms") - 1)
-    )
+        .where(F.size("_found") == F.size("_terms"))
+        .select("_terms", F.col("_found")[0]["token"].alias("token"), F.col("_found")[1]["token"].alias("_second"))
+    )
+    # The side of the ads is the streamed one: of a token's rows only the sets are held.
+    carrying = token_counts(dealt).select("ad_id", "held", F.explode(F.map_keys("held")).alias("token"))
+    met = carrying.hint("merge").join(rarest, "token").where(F.array_contains(F.map_keys("held"), F.col("_second")))
+    least = F.array_min(F.transform("_terms", lambda t: F.coalesce(F.element_at("held", t), F.lit(0))))
+    held = met.select("_terms", "ad_id", least.alias("_least")).where(F.col("_least") > 0)
     best_several = top_per_group(held, ["_terms"], [F.desc("_least"), F.asc("ad_id")], depth).select(
         "_terms", "ad_id", "_least", "rank"
     )
-    return asked.join(best_single.unionByName(best_several), "_terms").select(
+    return asked.join(best_single.unionByName(best_several).hint("merge"), "_terms").select(
         "query", "ad_id", relevance(F.col("_least")).alias("relevance"), "rank"
     )
 

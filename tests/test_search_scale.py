@@ -1,0 +1,43 @@
+"""Retrieval and its input do not grow a broadcast or one task: what file sizes say of postings and parts is far too small."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from clickloom.operators import search
+from clickloom.plans import views
+from clickloom.plans.inspect import formatted_plan
+
+from .conftest import rows
+
+
+@pytest.fixture
+def ads(spark):
+    titles = ("red ring", "red red bolt", "hot ring", "red ring ring", "red", "hot hot ring red red")
+    return spark.createDataFrame([(f"a{i}", t, "LARGE" if i % 2 else None) for i, t in enumerate(titles)], "id string, title string, category string")
+
+
+@pytest.fixture
+def asked(spark):
+    names = ("red ring", "Ring RED", "red red", "ring red large", "hot ring unheard", "bolt red", "ring", "", "hot ring red large")
+    return spark.createDataFrame([(n,) for n in names], "query string")
+
+
+def test_postings_are_never_broadcast(spark, ads, asked, tmp_path):
+    ads.write.parquet(f"{tmp_path}/ads")
+    asked.write.parquet(f"{tmp_path}/asked")
+    found = search.lexical_candidates(spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/ads"))
+    assert "BroadcastExchange" not in formatted_plan(found, "simple")
+
+
+def test_sets_of_tokens_against_plain_rules(ads, asked):
+    stored = {r["id"]: (f"{r['title']} {r['category'] or ''}").lower().split() for r in ads.collect()}
+    want = []
+    for query in (r["query"] for r in asked.collect()):
+        terms = set(query.lower().split())
+        least = {a: min(words.count(t) for t in terms) for a, words in stored.items()} if terms else {}
+        best = sorted((a for a in least if least[a]), key=lambda a: (-least[a], a))[:2]
+        want += [(query, a, round(0.1 * least[a] / (1 + 0.1 * least[a]), 10), i + 1) for i, a in enumerate(best)]
+    assert rows(search.lexical_candidates(asked, ads, depth=2), "query", "ad_id", "relevance", "rank") == sorted(want, key=lambda r: tuple((False, str(v)) for v in r))
