@@ -215,7 +215,8 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query"))
-    return events(spark, sf_dir).join(names, "k").select(
+    # Parts compress well: by the size of their file they would be broadcast at any number of rows.
+    return events(spark, sf_dir).join(names.hint("merge"), "k").select(
         named("search", F.col("event_id")).alias("id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
         "query",

@@ -10,7 +10,7 @@ from clickloom.operators import search
 from clickloom.plans import views
 from clickloom.plans.inspect import formatted_plan
 
-from .conftest import rows
+from .conftest import SF, rows
 
 
 @pytest.fixture
@@ -41,3 +41,7 @@ def test_sets_of_tokens_against_plain_rules(ads, asked):
         best = sorted((a for a in least if least[a]), key=lambda a: (-least[a], a))[:2]
         want += [(query, a, round(0.1 * least[a] / (1 + 0.1 * least[a]), 10), i + 1) for i, a in enumerate(best)]
     assert rows(search.lexical_candidates(asked, ads, depth=2), "query", "ad_id", "relevance", "rank") == sorted(want, key=lambda r: tuple((False, str(v)) for v in r))
+
+
+def test_parts_are_not_broadcast_to_events(spark):
+    assert "BroadcastExchange" not in formatted_plan(views.search_input(spark, SF), "simple")
