@@ -59,8 +59,9 @@ def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVA
     ties go to the lower id. Queries that ask for the same set of tokens are one retrieval. For a
     single token the ads are ranked per token before any query is met, so a token that every ad holds
     gives ``depth`` rows. A set of several meets the ads on its rarest token; an ad carries the counts of
-    all its tokens, so the others are looked up in its row and only what holds them all is ranked. No
-    join may broadcast postings, whose size an estimate from the files' does not tell.
+    all its tokens, so the others are looked up in its row and only what holds them all is ranked. Ads are
+    dealt over tasks by id first, since few and small files can hold many of them, and no join may
+    broadcast postings, whose size an estimate from the files' does not tell.
     """
     asked = (
         queries.select("query").distinct()
@@ -68,7 +69,7 @@ def lexical_candidates(queries: DataFrame, ads: DataFrame, depth: int = RETRIEVA
         .where(F.size("_terms") > 0)
     )
     sets = asked.select("_terms").distinct()
-    dealt = ads.select("id", "title", "category")
+    dealt = ads.select("id", "title", "category").repartition("id")
     postings = token_postings(dealt)
     order = [F.desc("tf"), F.asc("ad_id")]
     single = sets.where(F.size("_terms") == 1).select("_terms", F.col("_terms")[0].alias("token"))

@@ -32,6 +32,12 @@ def test_postings_are_never_broadcast(spark, ads, asked, tmp_path):
     assert "BroadcastExchange" not in formatted_plan(found, "simple")
 
 
+def test_ads_of_one_file_are_dealt_before_postings_are_made(spark, ads, asked, tmp_path):
+    ads.coalesce(1).write.parquet(f"{tmp_path}/ads")
+    plan = formatted_plan(search.lexical_candidates(asked, spark.read.parquet(f"{tmp_path}/ads")), "simple")
+    assert len(re.findall(r"FileScan parquet .*title", plan)) == plan.count("REPARTITION_BY_COL") > 0
+
+
 def test_sets_of_tokens_against_plain_rules(ads, asked):
     stored = {r["id"]: (f"{r['title']} {r['category'] or ''}").lower().split() for r in ads.collect()}
     want = []
