@@ -4,7 +4,8 @@
 word less of history; counts are those of all other documents. The n-grams of the corpus are too many to
 send a row each, so they travel packed: a chunk of documents sends each hash bucket its distinct n-grams
 with their counts, the bucket sums them over the chunks, and each chunk gets its n-grams' totals back, is
-joined to its words, and sums per document.
+joined to its words, and sums per document. The words are written once, as a bucketed table of chunks, and
+wait there for the totals; only n-grams and totals are shuffled.
 """
 
 from __future__ import annotations
@@ -18,18 +19,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import keep
+from clickloom.session import scratch_path
+from clickloom.sources.bucketed import write_bucketed_in_place
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Characters of a chunk, unless one document alone has more; n-grams of a bucket, about.
-CHUNK, BUCKET = 2_000_000, 4_000_000
-CHUNKS = "chunk string, doc_ids array<long>, sizes array<int>, words binary, ids binary, wide boolean, grams long"
+CHUNK, BUCKET = 8_000_000, 4_000_000
+CHUNKS = "chunk string, doc_ids array<long>, sizes array<int>, words binary, ids binary, grams long"
 MEMO = 500_000
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all the high ones first: those hardly change, if sorted or small, and compress."""
+    size = numbers.dtype.itemsize
+    return numbers.astype(f">u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def _unplanes(raw: bytes, size: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(f">u{size}").ravel().astype(f"<u{size}")
+
+
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents as places in a chunk's own word list; words as hashes, ids in two or four bytes each."""
+    """Documents as places in a chunk's own sorted word list; words as hashes, both in planes of bytes."""
     from pyspark import TaskContext
 
     part, number, known = TaskContext.get().partitionId(), 0, {}
@@ -45,12 +57,11 @@ def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
             hashes = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in found)])
             words, ids = np.unique(hashes, return_inverse=True)
-            wide = len(words) > 65_536
             yield pd.DataFrame(
                 {
                     "chunk": [f"{part}-{number}"], "doc_ids": [[None if pd.isna(x) else int(x) for x in rows["doc_id"]]],
-                    "sizes": [[len(w) for w in found]], "words": [words.tobytes()], "ids": [ids.astype(np.uint32 if wide else np.uint16).tobytes()],
-                    "wide": [wide], "grams": [len(hashes)],
+                    "sizes": [[len(w) for w in found]], "words": [_planes(words)], "ids": [_planes(ids.astype(np.uint32))],
+                    "grams": [len(hashes)],
                 }
             )
             number += 1
@@ -62,7 +73,7 @@ def _grams(row, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     sizes = np.array(row.sizes, np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    words = np.frombuffer(row.words, np.uint64)[np.frombuffer(row.ids, np.uint32 if row.wide else np.uint16)]
+    words = _unplanes(row.words)[_unplanes(row.ids, 4)]
     out = []
     for n in range(1, order + 1):
         h = np.full(len(words), n, np.uint64)
@@ -74,15 +85,6 @@ def _grams(row, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return doc, place, out
 
 
-def _planes(hashes: np.ndarray) -> bytes:
-    """Sorted hashes byte by byte, the high ones first: those hardly change and compress."""
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
-
-
 def _send(order: int, buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -96,7 +98,7 @@ def _send(order: int, buckets: int):
                     {
                         "bucket": some, "chunk": row.chunk,
                         "hashes": [_planes(h[cut[k] : cut[k + 1]]) for k in some],
-                        "counts": [c[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in some],
+                        "counts": [_planes(c[cut[k] : cut[k + 1]].astype(np.uint32)) for k in some],
                     }
                 )
 
@@ -111,9 +113,9 @@ def _total(frame: pd.DataFrame) -> pd.DataFrame:
     """The bucket's count table, and from it each chunk's n-grams' totals."""
     parts = [_unplanes(x) for x in frame["hashes"]]
     _, at = np.unique(np.concatenate(parts), return_inverse=True)
-    totals = np.bincount(at, weights=np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]]))[at].astype("<u8")
+    totals = np.bincount(at, weights=np.concatenate([_unplanes(x, 4) for x in frame["counts"]]))[at].astype(np.uint64)
     ends = np.cumsum([len(p) for p in parts])
-    sent = [t.view(np.uint8).reshape(-1, 8).T.tobytes() for t in np.split(totals, ends[:-1])]
+    sent = [_planes(t) for t in np.split(totals, ends[:-1])]
     return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "totals": sent})
 
 
@@ -126,9 +128,7 @@ def _score(order: int, alpha: float, corpus: int):
         if len(doc):
             keys = np.unique(np.concatenate(grams))
             keys = keys[keys != 0]
-            sums = np.concatenate(
-                [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel() for x in totals.sort_values("bucket")["totals"]]
-            ).astype(np.int64)
+            sums = np.concatenate([_unplanes(x) for x in totals.sort_values("bucket")["totals"]]).astype(np.int64)
             others = corpus - sizes[doc]
             counts = []  # of the n-gram that ends at each word, in other documents
             for g in grams:
@@ -164,7 +164,9 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, id: str = "do
     if order < 1 or not 0 < alpha <= 1:
         raise ValueError("The order must be 1 or more, alpha above 0 and at most 1")
     rows = docs.select(docs[id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    chunks = keep(rows.mapInPandas(_chunks, CHUNKS), "chunks")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = write_bucketed_in_place(rows.mapInPandas(_chunks, CHUNKS), "chunk", "chunks", scratch_path(spark, "chunks"), parts)
     corpus = chunks.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
     buckets = corpus * order // BUCKET + 1
     sent = chunks.mapInPandas(_send(order, buckets), "bucket int, chunk string, hashes binary, counts binary")

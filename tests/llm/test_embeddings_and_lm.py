@@ -119,3 +119,19 @@ def test_lm_scores_against_word_by_word(docs, documents, order, monkeypatch):
     for a, b in zip(got, scores(rows, order=order), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)
     assert ngram_lm.lm_scores(docs()).count() == 0
+
+
+def test_chunks_wait_for_their_totals_in_place(spark, docs):
+    """Only n-grams and totals are shuffled; the chunks' words are read where they were written."""
+    plan = ngram_lm.lm_scores(docs((1, "one two two"), (2, "two one"), (3, None)))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([line for line in moved if "hashpartitioning(chunk" in line]) == 1
+    assert len([line for line in moved if "hashpartitioning(bucket" in line]) == 1
+    assert len(moved) == 2
+
+
+def test_numbers_in_planes_of_bytes():
+    for kind in (np.uint32, np.uint64):
+        numbers = np.array([0, 1, 255, 256, 65_536, np.iinfo(kind).max], kind)
+        assert (ngram_lm._unplanes(ngram_lm._planes(numbers), numbers.dtype.itemsize) == numbers).all()
+    assert len(ngram_lm._unplanes(b"")) == 0
