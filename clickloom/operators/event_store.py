@@ -117,7 +117,7 @@ def classify_impression_batch(store: EventStore, batch: int, deliveries: DataFra
     """``deliveries`` with ``outcome`` and ``reason``, decided against the store; accepted ones are added to it.
 
     ``batch`` numbers rise in order of receipt. deliveries: delivery_id (unique), id, request_id, ad_id,
-    occurred_at, received_at. An id that the store knows is a replay or a conflict even if its clock is wrong
+    occurred_at, received_at; requests and results as for ``checked_impressions``. An id that the store knows is a replay or a conflict even if its clock is wrong
     by now; an exposure that it knows is a conflict. An empty batch adds nothing.
     """
     payload = ["request_id", "ad_id", "occurred_at"]

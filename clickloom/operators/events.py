@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.columns import epoch_micros, hours
 from clickloom.schemas import ATTRIBUTION_HOURS, EXPOSURE_HOURS, LATENESS_HOURS
-from clickloom.session import cut_lineage, drop_scratch, scratch_table
+from clickloom.session import drop_scratch, scratch_table
 
 #: Rows of blocked chains that one task folds in order.
 FOLD_ROWS = 500_000
@@ -145,25 +145,35 @@ def accept_impressions(edges: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFram
     return result
 
 
+def returned_results(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """``request_id, ad_id, returned_at`` of the results whose request is known."""
+    known = requests.select(F.col("id").alias("request_id"), F.col("created_at").alias("returned_at"))
+    return results.select("request_id", "ad_id").join(known, "request_id")
+
+
 def checked_impressions(deliveries: DataFrame, requests: DataFrame, results: DataFrame) -> DataFrame:
     """``deliveries`` with the rule that each breaks by itself, kept once. requests: id, created_at; results:
-    request_id, ad_id (unique pairs)."""
-    returned = results.select("request_id", "ad_id").join(
-        requests.select(F.col("id").alias("request_id"), F.col("created_at").alias("_returned")), "request_id"
-    )
+    request_id, ad_id (unique pairs). Results that bring ``returned_at`` are those of ``returned_results``: many
+    batches against the same tables join these once."""
+    if "returned_at" in results.columns:
+        # Both sides by a shuffle: a stored table may compress well, and a hot exposure is split.
+        returned = results.select("request_id", "ad_id", F.col("returned_at").alias("_returned")).hint("merge")
+    else:
+        returned = returned_results(requests, results).withColumnRenamed("returned_at", "_returned")
     joined = deliveries.join(returned, ["request_id", "ad_id"], "left")
     outside = (F.col("occurred_at") < F.col("_returned")) | (
         F.col("occurred_at") >= F.col("_returned") + hours(EXPOSURE_HOURS)
     )
-    # Kept once: the rounds of acceptance and the outcomes both start from it.
-    return cut_lineage(
+    # Kept once, by columns: the rounds of acceptance and the outcomes both start from it and read few of them.
+    return scratch_table(
         joined.withColumn(
             "problem",
             F.when(_missing("id", "request_id", "ad_id", "occurred_at"), "missing_field")
             .when(_clock_problem(), "clock")
             .when(F.col("_returned").isNull(), "result_not_found")
             .when(outside, "exposure_window"),
-        ).select(*deliveries.columns, "problem")
+        ).select(*deliveries.columns, "problem"),
+        "checked",
     )
 
 

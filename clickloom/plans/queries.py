@@ -887,7 +887,9 @@ def _delivery_batches(spark, sf, days=10):
 
 
 def _served_tables(spark, sf):
-    return scratch_table(views.search_requests(spark, sf), "requests"), scratch_table(views.search_results(spark, sf), "results")
+    """Requests, and the results joined with them once for all batches; both written once."""
+    requests = scratch_table(views.search_requests(spark, sf), "requests")
+    return requests, scratch_table(events.returned_results(requests, views.search_results(spark, sf)), "results")
 
 
 def _outcomes_by_batch(spark, sf, clicks):

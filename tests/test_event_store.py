@@ -210,3 +210,18 @@ def test_stream_equals_one_pass_and_survives_a_failure(spark, tmp_path):
     before = {t: rows(store.read(t, 99)) for t in event_store.TABLES}
     assert run() == (want, len(want))
     assert {t: rows(store.read(t, 99)) for t in event_store.TABLES} == before
+
+
+def test_results_meet_their_requests_once_for_all_batches(spark, tmp_path):
+    """Joined results give the same outcomes, and a batch moves neither the requests nor the results twice."""
+    requests = spark.createDataFrame([("r1", dt.datetime(2024, 1, 1)), ("r2", dt.datetime(2024, 1, 1))], "id string, created_at timestamp_ntz")
+    results = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "a"), ("r9", "a")], "request_id string, ad_id string")
+    at, late = dt.datetime(2024, 1, 1, 0, 5), dt.datetime(2024, 1, 1, 2)
+    shown = [(k, f"i{k}", r, ad, t, t) for k, (r, ad, t) in enumerate([("r1", "a", at), ("r1", "a", at), ("r2", "a", late), ("r9", "a", at), ("r2", "b", at), (None, "a", at)])]
+    deliveries = spark.createDataFrame(shown, SHOWN)
+    joined = events.returned_results(requests, results)
+    found = [outcomes(events.classify_impressions(deliveries, requests, given)) for given in (results, joined)]
+    assert found[0] == found[1] and len(set(found[0].values())) == 5
+    stored = event_store.EventStore(spark, str(tmp_path / "store"), 4)
+    unread = requests.where("raise_error('requests are joined already') IS NULL")
+    assert outcomes(event_store.classify_impression_batch(stored, 0, deliveries, unread, joined)) == found[0]
